@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -44,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(name: str) -> tuple[str, str]:
+    """A key of its own for one model, to keep it by in the workers."""
+    return name, uuid.uuid4().hex
+
+
 def per_worker(key, build: Callable):
     """Build once in each Python worker; keeps the latest few values only."""
     if key not in _WORKER:
