@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, simhash, toxicity
+from . import bpe, langid, packing, quality, simhash, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -35,9 +39,12 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op5_quality": op5_quality,
     "op8_language": op8_language,
     "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL where it can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_quality": quality.sql(),
+}
