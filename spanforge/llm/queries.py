@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, toxicity
+from . import ann, bpe, langid, packing, quality, secrets, simhash, toxicity
 from .common import read
 
 
@@ -26,10 +26,29 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "network")
+    return found.select(
+        "doc_id",
+        *(of(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -40,11 +59,14 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
+    "op6_neighbours": op6_neighbours,
     "op8_language": op8_language,
+    "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
     "op5_quality": quality.sql(),
+    "op6_neighbours": ann.sql(),
 }
