@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, quality, secrets, simhash, toxicity
+from . import ann, bpe, langid, packing, pii, quality, secrets, simhash, toxicity
 from .common import read
 
 
@@ -31,6 +31,14 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+#: The key of a run is the caller's secret; this one is for tests and measurements.
+PII_KEY = "spanforge-test-key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -60,6 +68,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_quality": op5_quality,
     "op6_neighbours": op6_neighbours,
+    "op7_pii": op7_pii,
     "op8_language": op8_language,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
