@@ -29,6 +29,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,6 +241,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", work)
 
 
+def predictor(spark, model: Model):
+    """A function from a text column to struct<lang_pred, score>, for use in any plan."""
+    sent, key = spark.sparkContext.broadcast(model), fresh("langid")
+
+    @F.pandas_udf("lang_pred string, score double")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        scorer = per_worker(key, lambda: Scorer(sent.value))
+        names, scores = scorer.score([t if isinstance(t, str) else None for t in texts])
+        return pd.DataFrame({"lang_pred": names, "score": scores})
+
+    return of
+
+
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learn from every fold but ``held``, predict all: doc_id, held_out, lang_pred, score."""
     model = fit(docs.filter(crc_mod("doc_id", folds) != held))

@@ -27,6 +27,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -153,12 +154,40 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """doc_id, fp (signed long) and component_id: the smallest doc_id reachable over links."""
-    marked = cut(fingerprints(docs, words))
+def groups(marked: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, component_id) for the distinct fingerprints of ``marked`` (doc_id, fp)."""
     first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     found = components(links(first.select("fp"), radius))
     root = first.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = root.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = root.join(names, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return root.join(names, "root").select("fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """doc_id, fp (signed long) and component_id: the smallest doc_id reachable over links."""
+    marked = cut(fingerprints(docs, words))
+    return marked.join(groups(marked, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when each component keeps the one with its smallest doc_id.
+
+    Of repeated rows with that id and fingerprint one stays; a component without any id keeps one row.
+    """
+
+    @F.pandas_udf("long")
+    def mark(texts: pd.Series) -> pd.Series:
+        found = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in texts], np.uint64)
+        return pd.Series(found.view(np.int64))
+
+    marked = cut(fingerprints(docs, words))
+    named = marked.join(groups(marked, radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = cut(named.groupBy("component_id", "fp").agg(F.count(F.lit(1)).alias("times")))
+    # of a component's fingerprints with its smallest id (the id may repeat) the smallest
+    one = stay.groupBy("component_id").agg(F.min("fp").alias("_fp"), F.max("times").alias("_times")).withColumnRenamed("component_id", "_id")
+    again = one.filter(F.col("_times") > 1).limit(1).count() > 0
+    marked_docs = docs.withColumn("_mark", mark("text"))
+    kept = marked_docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_fp")), "left_semi")
+    if again:
+        kept = kept.dropDuplicates(["doc_id", "_mark"])
+    return kept.drop("_mark")

@@ -28,6 +28,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -246,6 +247,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, score double, evidence array<struct<similarity: double, doc_id: long, label: int>>", work)
 
 
+def scorer_of(spark, model: Model):
+    """A function from a text column to its score, for use in any plan."""
+    sent, key = spark.sparkContext.broadcast(model), fresh("toxicity")
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        scorer = per_worker(key, lambda: Scorer(sent.value))
+        return pd.Series([scorer.model.score(scorer.counts(t if isinstance(t, str) else None))[0] for t in texts], dtype="float64")
+
+    return of
+
+
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """Rows (doc_id, text, label) of every fold but ``held``; one label an id, the larger if they differ."""
     known = labels.select("doc_id", F.col("toxic").alias("label")).filter(F.col("label").isNotNull() & (crc_mod("doc_id", folds) != held))
