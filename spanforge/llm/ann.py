@@ -90,6 +90,7 @@ class Best:
 def search_rows(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, codes: Codes, turned: np.ndarray, offset: np.ndarray, best: Best, epsilon: float) -> int:
     """Bring ``best`` up to date with the rows of x; returns how many were reranked."""
     lengths = np.sqrt((q.astype(np.float64) ** 2).sum(1))
+    slack = lengths * float(np.sqrt((x.astype(np.float64) ** 2).sum(1)).max()) * (x.shape[1] + 8) * 2.0**-23
     reranked = 0
     for at in range(0, len(q), _QUERIES):
         part = np.arange(at, min(at + _QUERIES, len(q)))
@@ -104,8 +105,12 @@ def search_rows(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray
         for chosen in (lambda: first, lambda: (estimate + bound >= best.score[part, -1][:, None]) & ~first & ~own):
             a, b = np.nonzero(chosen())
             reranked += len(a)
-            scores = np.concatenate([dots(q[part[a[i : i + _PAIRS]]], x[b[i : i + _PAIRS]]) for i in range(0, len(a), _PAIRS)]) if len(a) else np.empty(0)
-            best.add(part[a], scores, ids[b])
+            for i in range(0, len(a), _PAIRS):
+                l, r = part[a[i : i + _PAIRS]], b[i : i + _PAIRS]
+                # in single precision first: who misses the threshold by more than its rounding needs no doubles
+                near = np.einsum("ij,ij->i", q[l], x[r]) >= best.score[l, -1] - slack[l]
+                l, r = l[near], r[near]
+                best.add(l, dots(q[l], x[r]), ids[r])
     return reranked
 
 
