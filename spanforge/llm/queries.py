@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, packing, pii, quality, secrets, simhash, toxicity
+from . import ann, bpe, langid, lm, packing, pii, quality, secrets, simhash, toxicity
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_lm": op4_lm,
     "op5_quality": op5_quality,
     "op6_neighbours": op6_neighbours,
     "op7_pii": op7_pii,
