@@ -25,17 +25,14 @@ PII_KEY = "spanforge-test-key"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those in no language clearly, go."""
-    found = langid.predictor(spark, langid.fit(docs))(F.col("text"))
-    judged = docs.withColumn("_language", found)
-    kept = judged.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= LEAST_LANGUAGE))
-    return kept.drop("_language")
+    return langid.keep(docs, langid.fit(docs), LEAST_LANGUAGE)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     known = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).filter(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     model = toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
-    return docs.filter(toxicity.scorer_of(spark, model)(F.col("text")) < 0.5)
+    return toxicity.keep(docs, model, 0.5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,15 +56,30 @@ def fresh(name: str) -> tuple[str, str]:
     return name, uuid.uuid4().hex
 
 
-def per_worker(key, build: Callable):
-    """Build once in each Python worker; keeps the latest few values only."""
+def per_worker(key: tuple, build: Callable):
+    """Build once in each Python worker; of one kind (the key's first part) only the latest is kept, three in all."""
     if key not in _WORKER:
-        if len(_WORKER) >= 8:
-            _WORKER.pop(next(iter(_WORKER)))
+        for old in [k for k in _WORKER if k[0] == key[0]]:
+            del _WORKER[old]
+        while len(_WORKER) >= 3:
+            del _WORKER[next(iter(_WORKER))]
         _WORKER[key] = build()
     return _WORKER[key]
 
 
+def filter_rows(df: DataFrame, column: str, decide: Callable[[list], list[bool]], rows: int = 1000) -> DataFrame:
+    """The rows of ``df``, all columns, whose value in ``column`` the function keeps; it gets at most ``rows`` values at once."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[dict], dict], rows: int = 2000) -> DataFrame:
     """``mapInArrow`` over the named columns only.
 

@@ -29,11 +29,10 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, map_rows, per_worker
+from .common import crc_mod, filter_rows, fresh, map_rows, per_worker
 
 ORDER = 4
 PER_LANGUAGE = 1500
@@ -174,7 +173,7 @@ class Model:
 class Scorer:
     """A model and the words that a worker has met."""
 
-    REMEMBER = 250_000
+    REMEMBER = 150_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -241,17 +240,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", work)
 
 
-def predictor(spark, model: Model):
-    """A function from a text column to struct<lang_pred, score>, for use in any plan."""
-    sent, key = spark.sparkContext.broadcast(model), fresh("langid")
+def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in some language with a share of at least ``least``."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), fresh("langid")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        scorer = per_worker(key, lambda: Scorer(sent.value))
-        names, scores = scorer.score([t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+    def decide(texts: list) -> list[bool]:
+        names, scores = per_worker(key, lambda: Scorer(sent.value)).score(texts)
+        return [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
 
-    return of
+    return filter_rows(docs, text, decide)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

@@ -27,9 +27,10 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, map_rows
 
@@ -169,24 +170,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     return marked.join(groups(marked, radius), "fp").select("doc_id", "fp", "component_id")
 
 
+def with_fingerprint(docs: DataFrame, words: int = 3, name: str = "_mark") -> DataFrame:
+    """``docs``, all columns, with the fingerprint of text."""
+    at, names = docs.columns.index("text"), [*docs.columns, name]
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                found = np.array([fingerprint(t, words) for t in part.column(at).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when each component keeps the one with its smallest doc_id.
 
     Of repeated rows with that id and fingerprint one stays; a component without any id keeps one row.
     """
 
-    @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        found = np.array([fingerprint(t if isinstance(t, str) else None, words) for t in texts], np.uint64)
-        return pd.Series(found.view(np.int64))
-
     marked = cut(fingerprints(docs, words))
     named = marked.join(groups(marked, radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = cut(named.groupBy("component_id", "fp").agg(F.count(F.lit(1)).alias("times")))
     # of a component's fingerprints with its smallest id (the id may repeat) the smallest
     one = stay.groupBy("component_id").agg(F.min("fp").alias("_fp"), F.max("times").alias("_times")).withColumnRenamed("component_id", "_id")
     again = one.filter(F.col("_times") > 1).limit(1).count() > 0
-    marked_docs = docs.withColumn("_mark", mark("text"))
+    marked_docs = with_fingerprint(docs, words)
     kept = marked_docs.join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_fp")), "left_semi")
     if again:
         kept = kept.dropDuplicates(["doc_id", "_mark"])

@@ -28,12 +28,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, fresh, map_rows, per_worker
+from .common import crc_mod, cut, filter_rows, fresh, map_rows, per_worker
 
 SAMPLE = 20_000
 TERMS = 2_000
@@ -147,7 +146,7 @@ def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
 class Scorer:
     """A model and the words that a worker has met."""
 
-    REMEMBER = 400_000
+    REMEMBER = 250_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -247,16 +246,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], "doc_id long, score double, evidence array<struct<similarity: double, doc_id: long, label: int>>", work)
 
 
-def scorer_of(spark, model: Model):
-    """A function from a text column to its score, for use in any plan."""
-    sent, key = spark.sparkContext.broadcast(model), fresh("toxicity")
+def keep(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score less than ``below``."""
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), fresh("toxicity")
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def decide(texts: list) -> list[bool]:
         scorer = per_worker(key, lambda: Scorer(sent.value))
-        return pd.Series([scorer.model.score(scorer.counts(t if isinstance(t, str) else None))[0] for t in texts], dtype="float64")
+        return [scorer.model.score(scorer.counts(t))[0] < below for t in texts]
 
-    return of
+    return filter_rows(docs, text, decide)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
