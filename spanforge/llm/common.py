@@ -70,6 +70,7 @@ def per_worker(key: tuple, build: Callable):
 def filter_rows(df: DataFrame, column: str, decide: Callable[[list], list[bool]], rows: int = 1000) -> DataFrame:
     """The rows of ``df``, all columns, whose value in ``column`` the function keeps; it gets at most ``rows`` values at once."""
     at = df.columns.index(column)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,6 +81,13 @@ def filter_rows(df: DataFrame, column: str, decide: Callable[[list], list[bool]]
     return df.mapInArrow(run, df.schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches to Python have at most ``rows`` rows: texts can be long, and two batches per task are held at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[dict], dict], rows: int = 2000) -> DataFrame:
     """``mapInArrow`` over the named columns only.
 
@@ -90,6 +98,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[dic
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,8 +138,10 @@ class Model:
         p = np.exp(z[np.arange(len(z)), truth]) / np.exp(z).sum(1)
         return float(-np.log(np.maximum(p, 1e-12)).mean()) if len(z) else 0.0
 
-    def word_bits(self, words: list[bytes]) -> np.ndarray:
-        """Code length of each word in each language."""
+    def word_bits(self, words: list[bytes], at_once: int = 4096) -> np.ndarray:
+        """Code length of each word in each language; few at once, as each of their bytes takes five keys."""
+        if len(words) > at_once:
+            return np.concatenate([self.word_bits(words[i : i + at_once]) for i in range(0, len(words), at_once)])
         keys, depth, word = _positions(words, self.order)
         out = np.zeros((len(keys[0]), len(self.languages)), np.float32)
         open_ = np.arange(len(out))
@@ -160,9 +162,7 @@ class Model:
             done[on[hit]] = True
             open_ = open_[~done[open_]]
         out[open_] += 8
-        sums = np.zeros((len(words), len(self.languages)))
-        np.add.at(sums, word, out) if len(words) < 64 else sums.__iadd__(np.stack([np.bincount(word, out[:, j], len(words)) for j in range(out.shape[1])], 1))
-        return sums
+        return np.stack([np.bincount(word, out[:, j], len(words)) for j in range(out.shape[1])], 1)
 
     def scaled(self, text: str) -> np.ndarray:
         words = _words(text)
@@ -237,7 +237,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names, scores = scorer.score(rows["text"])
         return {"doc_id": rows["doc_id"], "lang_pred": names, "score": scores}
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", work)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, lang_pred string, score double", work, rows=500)
 
 
 def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
@@ -248,7 +248,7 @@ def keep(docs: DataFrame, model: Model, least: float, text: str = "text") -> Dat
         names, scores = per_worker(key, lambda: Scorer(sent.value)).score(texts)
         return [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
 
-    return filter_rows(docs, text, decide)
+    return filter_rows(docs, text, decide, rows=500)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:

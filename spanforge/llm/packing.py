@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import SPLIT, Codec, byte_letters, default_path
-from .common import cut, per_worker
+from .common import cut, per_worker, small_batches
 
 UNIT = 16
 DEPTH = 3
@@ -186,6 +186,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None
     with open(path or default_path(), "rb") as f:
         raw = f.read()
     sent, key = spark.sparkContext.broadcast(raw), ("packing", zlib.crc32(raw))
+    small_batches(spark)
     names = ["doc_id", "doc_tokens", "start", "length", "crc", "ids", "pid", "idx"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, map_rows
+from .common import cut, map_rows, small_batches
 
 #: Fingerprints that may share a half before the other half is hashed as well.
 CROWD = 64
@@ -172,6 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 
 def with_fingerprint(docs: DataFrame, words: int = 3, name: str = "_mark") -> DataFrame:
     """``docs``, all columns, with the fingerprint of text."""
+    small_batches(docs.sparkSession)
     at, names = docs.columns.index("text"), [*docs.columns, name]
 
     def run(batches):

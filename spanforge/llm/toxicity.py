@@ -68,7 +68,7 @@ class Index:
         self.start = np.searchsorted(cell, np.arange(n_terms * max(self.n_blocks, 1) + 1))
         self.most = np.zeros(n_terms * max(self.n_blocks, 1))
         np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, -1)
+        self.most = self.most.reshape(n_terms, max(self.n_blocks, 1))
 
     def nearest(self, query: dict[int, float], k: int, without: int | None = None) -> list[tuple[float, int]]:
         """The k largest (similarity, row), exact; ``without`` leaves one row out."""
