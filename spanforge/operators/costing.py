@@ -18,7 +18,7 @@ def priced(candidates: DataFrame, model: CostModel) -> DataFrame:
 def fixed_reference(extents: DataFrame, keys: list[str], max_gap: int | None) -> DataFrame:
     """Ranges and bytes of the plan with the fixed gap."""
     gap = FIXED_GAP if max_gap is None else min(FIXED_GAP, max_gap)
-    return spans.merged(extents, keys, gap).groupBy(*keys).agg(F.count(F.lit(1)).alias("ranges"), F.sum("span_length").alias("bytes"))
+    return spans.fixed_gap(extents, keys, gap)
 
 
 def candidates(needed: DataFrame, fetch: DataFrame, regions: DataFrame | None, keys: list[str], model: CostModel, max_gap: int | None = FIXED_GAP, region_units: str = "all") -> DataFrame:

@@ -79,7 +79,7 @@ def members(n: DataFrame, keys: list[str]) -> DataFrame:
 
 def covered_bytes(extents: DataFrame, keys: list[str]) -> DataFrame:
     """Bytes of the union of extents."""
-    return merged(extents, keys, 0).groupBy(*keys).agg(F.sum("span_length").alias("covered_bytes"))
+    return islands(reached(extents, keys), keys).select(*keys, F.col("island_bytes").alias("covered_bytes"))
 
 
 def violations(extents: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,12 +93,24 @@ def violations(extents: DataFrame, keys: list[str]) -> DataFrame:
     return bad.unionByName(twice)
 
 
-def gaps(extents: DataFrame, keys: list[str]) -> DataFrame:
-    """Positive gaps between consecutive extents, with their position."""
+def reached(extents: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``reach``: how far the extents before reach. One sort serves islands, gaps and covered bytes."""
     order = _by(keys, "offset", "record_id")
-    reach = F.max(end()).over(order.rowsBetween(W.unboundedPreceding, -1))
-    out = extents.withColumn("gap", F.col("offset") - reach).withColumn("at", F.row_number().over(order) - 1)
-    return out.filter(F.col("gap") > 0).select(*keys, "at", "gap")
+    return extents.withColumn("reach", F.max(end()).over(order.rowsBetween(W.unboundedPreceding, -1)))
+
+
+def islands(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """From ``reached``: islands at gap zero and their bytes, records and the sum of their lengths."""
+    opens = F.col("reach").isNull() | (F.col("offset") > F.col("reach"))
+    fresh = F.greatest(F.lit(0).cast("long"), end() - F.greatest(F.col("offset"), F.coalesce("reach", "offset")))
+    return marked.groupBy(*keys).agg(F.count_if(opens).alias("islands"), F.sum(fresh).alias("island_bytes"), F.count(F.lit(1)).alias("records"), F.sum("length").alias("record_bytes"))
+
+
+def gaps(marked: DataFrame, keys: list[str], max_gap: int | None = None) -> DataFrame:
+    """From ``reached``: positive gaps up to ``max_gap``, with their number, sum and places, by size."""
+    gap = F.col("offset") - F.col("reach")
+    found = marked.withColumn("gap", gap).filter(F.col("gap") > 0)
+    return found.filter(F.col("gap") <= max_gap) if max_gap is not None else found
 
 
 def threshold_candidates(extents: DataFrame, keys: list[str], max_gap: int | None) -> DataFrame:
@@ -107,32 +119,37 @@ def threshold_candidates(extents: DataFrame, keys: list[str], max_gap: int | Non
     Raising the threshold past a gap merges exactly what it parts, so ranges and
     bytes are running sums over the distinct gaps: one pass instead of a plan per threshold.
     """
-    flat = extents.groupBy(*keys).agg(F.count(F.lit(1)).alias("ranges"), F.sum("length").alias("bytes")).withColumn("threshold", F.lit(None).cast("long"))
-    zero = merged(extents, keys, 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("span_length").alias("_b"))
-    found = gaps(extents, keys)
-    if max_gap is not None:
-        found = found.filter(F.col("gap") <= max_gap)
-    each = found.groupBy(*keys, F.col("gap").alias("threshold")).agg(F.count(F.lit(1)).alias("_c"), F.sum("gap").alias("_g"))
+    marked = reached(extents, keys)
+    base = islands(marked, keys)
+    each = gaps(marked, keys, max_gap).groupBy(*keys, F.col("gap").alias("threshold")).agg(F.count(F.lit(1)).alias("_c"), F.sum("gap").alias("_g"))
     running = _by(keys, "threshold").rowsBetween(W.unboundedPreceding, 0)
-    each = each.join(zero, keys).select(*keys, "threshold", (F.col("_n") - F.sum("_c").over(running)).alias("ranges"), (F.col("_b") + F.sum("_g").over(running)).alias("bytes"))
-    base = zero.select(*keys, F.lit(0).cast("long").alias("threshold"), F.col("_n").alias("ranges"), F.col("_b").alias("bytes"))
-    return flat.select(*keys, "threshold", "ranges", "bytes").unionByName(base).unionByName(each)
+    merged_ = each.join(base, keys).select(*keys, "threshold", (F.col("islands") - F.sum("_c").over(running)).alias("ranges"), (F.col("island_bytes") + F.sum("_g").over(running)).alias("bytes"))
+    # never merging and merging at zero come from the same row
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    shapes = F.array(
+        F.struct(none.alias("threshold"), F.col("records").alias("ranges"), F.col("record_bytes").alias("bytes")),
+        F.struct(zero.alias("threshold"), F.col("islands").alias("ranges"), F.col("island_bytes").alias("bytes")),
+    )
+    ends = base.select(*keys, F.explode(shapes).alias("x")).select(*keys, "x.threshold", "x.ranges", "x.bytes")
+    return ends.unionByName(merged_)
+
+
+def fixed_gap(extents: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    """Ranges and bytes of the plan that merges up to ``gap``."""
+    marked = reached(extents, keys)
+    close = gaps(marked, keys, gap).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"), F.sum("gap").alias("_g"))
+    joined = islands(marked, keys).join(close, keys, "left")
+    return joined.select(*keys, (F.col("islands") - F.coalesce("_c", F.lit(0))).alias("ranges"), (F.col("island_bytes") + F.coalesce("_g", F.lit(0))).alias("bytes"))
 
 
 def cut_frontier(extents: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
     """Ranges and bytes when the k largest gaps are cut, for every k; gaps above ``max_gap`` are always cut."""
-    zero = merged(extents, keys, 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum("span_length").alias("_b"))
-    found = gaps(extents, keys)
-    small = found.filter(F.col("gap") <= max_gap).groupBy(*keys).agg(F.count(F.lit(1)).alias("_s"), F.sum("gap").alias("_g"))
-    start = zero.join(small, keys, "left").select(*keys, (F.col("_n") - F.coalesce("_s", F.lit(0))).alias("_r"), (F.col("_b") + F.coalesce("_g", F.lit(0))).alias("_t"))
-    order = W.partitionBy(*keys).orderBy(F.desc("gap"), "at")
-    each = found.filter(F.col("gap") <= max_gap).join(start, keys).select(
-        *keys,
-        F.row_number().over(order).alias("cuts"),
-        (F.col("_r") + F.row_number().over(order)).alias("ranges"),
-        (F.col("_t") - F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, 0))).alias("bytes"),
-    )
-    return start.select(*keys, F.lit(0).alias("cuts"), F.col("_r").alias("ranges"), F.col("_t").alias("bytes")).unionByName(each)
+    start = fixed_gap(extents, keys, max_gap)
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("gap"), "offset", "record_id"))
+    upto = W.partitionBy(*keys).orderBy(F.desc("gap"), "offset", "record_id").rowsBetween(W.unboundedPreceding, 0)
+    found = gaps(reached(extents, keys), keys, max_gap).withColumn("cuts", at).withColumn("_g", F.sum("gap").over(upto))
+    each = found.join(start, keys).select(*keys, "cuts", (F.col("ranges") + F.col("cuts")).alias("ranges"), (F.col("bytes") - F.col("_g")).alias("bytes"))
+    return start.select(*keys, F.lit(0).alias("cuts"), "ranges", "bytes").unionByName(each)
 
 
 def overlaps(ranges: DataFrame, records: DataFrame, keys: list[str], bucket: int = 1 << 16) -> DataFrame:

@@ -87,12 +87,15 @@ class Relations:
     @cached_property
     def targets(self) -> DataFrame:
         """Requests with their record."""
-        return self.requests.join(self.catalog.select("video_id", "frame_idx", "record_id", "gop_id", "packet_index"), ["video_id", "frame_idx"]).persist()
+        return self.requests.join(self.catalog.select("video_id", "frame_idx", "record_id", "gop_id", "packet_index"), ["video_id", "frame_idx"]).repartition("window_id").persist()
 
     @cached_property
     def needed(self) -> DataFrame:
-        """Distinct records that each window's closures need: window_id, record_id, offset, length, video_id, gop_id, packet_index."""
-        return closures.union(self.targets, self.closure, self.catalog, ["window_id"]).persist()
+        """Distinct records that each window's closures need: window_id, record_id, offset, length, video_id, gop_id, packet_index.
+
+        Kept by window, so that the planners' windows and sums need no further exchange.
+        """
+        return closures.union(self.targets, self.closure, self.catalog, ["window_id"]).repartition("window_id").persist()
 
 
 #: The same relations in DuckDB.
