@@ -22,9 +22,12 @@ decode to U+FFFD.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+import sys
+import unicodedata
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,13 +46,32 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def late_letters() -> str:
+    """Ranges, for a character class, of the letters and numbers that Unicode 15.1 hasn't assigned.
+
+    The tokenizers library doesn't know them yet, the ``regex`` module does; this
+    Python's own table is of that version.
+    """
+    import regex
+
+    free = "".join(c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Cn")
+    codes = list(map(ord, regex.findall(r"[\p{L}\p{N}]", free)))
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
+
+
 class Codec:
-    """Encoder and decoder for one tokenizer file (the ``tokenizers`` JSON form)."""
+    """Encoder and decoder for one tokenizer file (the ``tokenizers`` JSON form).
+
+    ``late``: letters and numbers to take for neither, see ``late_letters``.
+    """
 
     #: Pre-token strings remembered; the memory is emptied when it is full.
     REMEMBER = 300_000
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, late: str = ""):
         import ahocorasick
         import regex
 
@@ -79,6 +101,10 @@ class Codec:
         self.shorter = {i: next((usable[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in usable), -1) for b, i in usable.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(SPLIT).findall
+        self.late = re.compile(f"[{late}]").search if late else None
+        if late:
+            older = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]").replace(r"?\p{L}+", rf"?[\p{{L}}--[{late}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{late}]]+")
+            self.split_older = regex.compile(older, regex.V1).findall
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         # offset table over every id, added tokens included
         strings = {i: b for b, i in by_bytes.items()} | {i: s.encode() for s, i in self.added.items()}
@@ -179,6 +205,8 @@ class Codec:
     _odd = re.compile(r" (?:\s|\Z)").search
 
     def _plain(self, text: str) -> bytes:
+        if self.late and not text.isascii() and self.late(text):
+            return b"".join([self.packed(self._word(w.encode())) for w in self.split_older(text)])
         if self._odd(text):
             # keep the spaces that open a word apart from those that don't
             units = re.split(r" (?=\S)", text)
@@ -231,8 +259,8 @@ def shared_codec(spark, path: str | None):
     """A function that gives each worker its codec; the file is read on the driver, 2 MB are broadcast."""
     with open(path or default_path(), "rb") as f:
         raw = f.read()
-    sent, key = spark.sparkContext.broadcast(raw), ("codec", hashlib.md5(raw).hexdigest())
-    return lambda: per_worker(key, lambda: Codec(sent.value))
+    sent, key, late = spark.sparkContext.broadcast(raw), ("codec", hashlib.md5(raw).hexdigest()), late_letters()
+    return lambda: per_worker(key, lambda: Codec(sent.value, late))
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:

@@ -23,8 +23,10 @@ each for itself.  Empty table: no pieces.  Other columns aren't read.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import json
+import re
 import zlib
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import SPLIT, Codec, byte_letters, default_path
+from .bpe import SPLIT, Codec, byte_letters, default_path, late_letters
 from .common import cut, per_worker, small_batches
 
 UNIT = 16
@@ -157,8 +159,11 @@ class Plan:
 
 
 # -- ids ----------------------------------------------------------------------
-def _tokenizer(raw: bytes):
-    """text -> ids (uint32) as the tokenizers library gives them; the library with the fastest exact form is used."""
+def _tokenizer(raw: bytes, late: str):
+    """text -> ids (uint32) as the tokenizers library gives them; the library with the fastest exact form is used.
+
+    Texts with letters newer than the library's tables go through the general codec.
+    """
     import tiktoken
 
     spec = json.loads(raw)
@@ -167,12 +172,15 @@ def _tokenizer(raw: bytes):
     merged = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
     order = [spec["model"]["vocab"][a + b] for a, b in merged]
     if any(x >= y for x, y in itertools.pairwise(order)):  # ids aren't in merge order: only the general codec is exact
-        codec = Codec(raw)
-        return codec.encode
+        return Codec(raw, late).encode
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=added)
 
+    newer, general = re.compile(f"[{late}]").search, functools.cache(lambda: Codec(raw, late))
+
     def encode(text: str | None) -> np.ndarray:
+        if text and not text.isascii() and newer(text):
+            return general().encode(text)
         return np.asarray(own.encode_to_numpy(text, allowed_special="all"), np.uint32) if text else np.empty(0, np.uint32)
 
     return encode
@@ -185,7 +193,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None
     spark = docs.sparkSession
     with open(path or default_path(), "rb") as f:
         raw = f.read()
-    sent, key = spark.sparkContext.broadcast(raw), ("packing", zlib.crc32(raw))
+    sent, key, late = spark.sparkContext.broadcast(raw), ("packing", zlib.crc32(raw)), late_letters()
     small_batches(spark)
     names = ["doc_id", "doc_tokens", "start", "length", "crc", "ids", "pid", "idx"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
@@ -193,7 +201,7 @@ def pack(docs: DataFrame, window: int = 2048, end_id: int = 1, path: str | None
     def cut_up(batches):
         from pyspark import TaskContext
 
-        encode = per_worker(key, lambda: _tokenizer(sent.value))
+        encode = per_worker(key, lambda: _tokenizer(sent.value, late))
         pid, seen = TaskContext.get().partitionId(), {}
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
