@@ -299,6 +299,9 @@ def test_lm_cases(odd, none):
 def test_blobs():
     for a in (np.array([], np.int64), np.array([0, 255]), np.array([256]), np.array([1 << 40]), np.arange(1000)):
         assert lm._expand(lm._squeeze(a)).tolist() == a.tolist()
+        assert lm._expand_rising(lm._squeeze_rising(a.astype(np.uint64))).tolist() == a.tolist()
+    top = np.array([5, 1 << 40, (1 << 64) - 1], np.uint64)
+    assert lm._expand_rising(lm._squeeze_rising(top)).tolist() == top.tolist()
 
 
 # -- 5 ---------------------------------------------------------------------------
