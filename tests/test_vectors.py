@@ -327,3 +327,28 @@ def test_keyed_stream_state(spark, tmp_path):
     q = pipeline.ewma_stream(stream, "caller", "value").writeStream.format("memory").queryName("ewma").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["caller"], r["ewma"], r["seen"]) for r in spark.table("ewma").collect()} == {(1, 9, 2), (2, 5, 1)}
+
+
+def test_session(spark):
+    from spanforge.session import Limits, Session, plan_byte_ranges
+
+    rows = [(i, "v", 0, i, p, t, r) for i, (t, p, r) in enumerate(zip("IBBBP", [0, 3, 2, 4, 1], [0, 4, 4, 4, 4], strict=True))]
+    cat = spark.createDataFrame(rows, "record_id long, video_id string, gop_id long, k int, packet_index int, frame_type string, right_ref long").withColumn("frame_idx", F.col("k"))
+    cat = cat.withColumn("record_offset", F.col("packet_index").cast("long") * 10).withColumn("record_length", F.lit(7).cast("long"))
+    data = spark.createDataFrame([(i, f"<rec {i}>") for i in range(5)], "record_id long, data string")
+    req = spark.createDataFrame([(0, 0, 0, 7, "v", 1), (0, 0, 1, 8, "v", 0), (0, 1, 0, 9, "v", 1)], "window_id long, batch_id long, pos long, sample_id long, video_id string, frame_idx int")
+    want = __import__("hashlib").sha256(b"<rec 0><rec 4><rec 2><rec 1>").hexdigest()
+    with Session(cat, closures.hierarchical(cat), data) as s:
+        for action in ("exact_closure", "calibrated_closure", "fixed_gap_closure", "region_all", "keyframe_prefix"):
+            got = s.execute(req, action).collect()
+            assert [r["sample_id"] for r in got] == [7, 8, 9]
+            assert got[0]["digest"] == got[2]["digest"] == want
+        with pytest.raises(ValueError):
+            s.execute(req, "whatever")
+        with pytest.raises(resolve.UnknownTargets):
+            s.execute(req.withColumn("frame_idx", F.lit(99)))
+    assert Limits(windows=4, callers=3, threads=8, decoder_threads=4).lanes == 2
+    with pytest.raises(ValueError):
+        Limits(windows=0)
+    with pytest.raises(ValueError):
+        plan_byte_ranges(spark.createDataFrame([(1, 0, 0)], "record_id long, offset long, length long"), 0)
