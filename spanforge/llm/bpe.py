@@ -62,14 +62,22 @@ def late_letters() -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True))
 
 
+def older_split(late: str):
+    """The split pattern's ``findall`` with the letters of ``late`` taken for neither letters nor numbers."""
+    import regex
+
+    older = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]").replace(r"?\p{L}+", rf"?[\p{{L}}--[{late}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{late}]]+")
+    return regex.compile(older, regex.V1).findall
+
+
 class Codec:
     """Encoder and decoder for one tokenizer file (the ``tokenizers`` JSON form).
 
     ``late``: letters and numbers to take for neither, see ``late_letters``.
     """
 
-    #: Pre-token strings remembered; the memory is emptied when it is full.
-    REMEMBER = 300_000
+    #: Strings remembered, and the longest of them in characters; the memory is emptied when it is full, so it stays below about 80 MB.
+    REMEMBER, LONGEST = 300_000, 32
 
     def __init__(self, raw: bytes, late: str = ""):
         import ahocorasick
@@ -103,8 +111,7 @@ class Codec:
         self.split = regex.compile(SPLIT).findall
         self.late = re.compile(f"[{late}]").search if late else None
         if late:
-            older = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]").replace(r"?\p{L}+", rf"?[\p{{L}}--[{late}]]+").replace(r"?\p{N}+", rf"?[\p{{N}}--[{late}]]+")
-            self.split_older = regex.compile(older, regex.V1).findall
+            self.split_older = older_split(late)
         self.special = re.compile("|".join(re.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         # offset table over every id, added tokens included
         strings = {i: b for b, i in by_bytes.items()} | {i: s.encode() for s, i in self.added.items()}
@@ -120,7 +127,9 @@ class Codec:
 
         class Pretokens(dict):
             def __missing__(self, word: str) -> bytes:
-                self[word] = out = packed(codec._word(word.encode()))
+                out = packed(codec._word(word.encode()))
+                if len(word) <= codec.LONGEST:
+                    self[word] = out
                 return out
 
         class Units(dict):
@@ -128,7 +137,9 @@ class Codec:
 
             def __missing__(self, unit: str) -> bytes:
                 if unit.isalpha():
-                    self[unit] = out = packed(codec._word(b" " + unit.encode()))
+                    out = packed(codec._word(b" " + unit.encode()))
+                    if len(unit) <= codec.LONGEST:
+                        self[unit] = out
                     return out
                 if unit[-1:] in (".", ",") and unit[:-1].isalpha():  # a word and its comma are two pre-tokens
                     return self[unit[:-1]] + pretokens[unit[-1]]
@@ -264,7 +275,9 @@ def shared_codec(spark, path: str | None):
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with a column ``ids`` array<int>: the ids of ``text`` (empty for null)."""
+    """``docs`` with a column ``ids`` array<int>: the ids of ``text`` (empty for null); a column of that name is an error."""
+    if "ids" in docs.columns:
+        raise ValueError("there is a column ids already")
     codec = shared_codec(docs.sparkSession, path)
     from pyspark.sql.types import ArrayType, IntegerType
 
@@ -277,7 +290,9 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
 
 def decode(tokens: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
-    """``tokens`` with a column ``decoded``: the text of ``ids`` (empty for null)."""
+    """``tokens`` with a column ``decoded``: the text of ``ids`` (empty for null); a column of that name is an error."""
+    if "decoded" in tokens.columns:
+        raise ValueError("there is a column decoded already")
     codec = shared_codec(tokens.sparkSession, path)
 
     @F.pandas_udf("string")

@@ -69,6 +69,9 @@ def test_bpe_memory_is_bounded():
     for i in range(40):
         codec.encode(" ".join(f"w{i}x{j}" for j in range(30)))
         assert len(codec.units) + len(codec.pretokens) < 300
+    before = len(codec.units) + len(codec.pretokens)
+    codec.encode("x" * 5000 + " " + "日本" * 5000 + " " + "0a" * 5000)  # long ones aren't remembered
+    assert max(map(len, [*codec.units, *codec.pretokens])) <= codec.LONGEST and len(codec.units) + len(codec.pretokens) <= before + 40
 
 
 def test_bpe_cases(odd, none, library):
@@ -80,7 +83,11 @@ def test_bpe_cases(odd, none, library):
         want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in got) == want
     assert bpe.digests(none).count() == 0
+    with pytest.raises(ValueError):
+        bpe.encode(odd)
     both = bpe.decode(bpe.encode(odd.drop("ids")))
+    with pytest.raises(ValueError):
+        bpe.decode(both)
     assert set(odd.columns) <= set(both.columns)
     assert both.filter(F.coalesce("text", F.lit("")) != F.col("decoded")).count() == 0
 
@@ -136,11 +143,55 @@ def test_nnls_is_optimal():
         assert (x >= 0).all() and (slope <= 1e-6).all() and np.abs(slope * x).max() < 1e-6
 
 
-def test_plan_uses_combinations_for_most():
-    counts = {16 * k: 300 + k % 7 for k in range(1, 128)}
-    plan = packing.Plan(counts, 2048)
-    in_stream = sum(n - s[-1][0] for n, s in ((counts[k], plan.segments[k]) for k in counts) if s and s[-1][1] < 0)
-    assert in_stream < 0.1 * sum(counts.values())
+def every_place(plan, counts):
+    """Fill of each sequence, checked for overlaps, from the place of every piece."""
+    spans = defaultdict(list)
+    for n, c in counts.items():
+        for rank in range(c):
+            spots = plan.place(n, rank)
+            assert sum(s[0] for s in spots) == n
+            for size, seq, at in spots:
+                spans[seq].append((at, size))
+    for s in spans.values():
+        end = 0
+        for at, size in sorted(s):
+            assert at == end
+            end += size
+    return {seq: sum(size for _, size in s) for seq, s in spans.items()}
+
+
+@pytest.mark.parametrize("kind", ["even", "random", "one length", "short", "few"])
+def test_plan(kind):
+    r = random.Random(kind)
+    counts = {
+        "even": {16 * k: 300 + k % 7 for k in range(1, 128)},
+        "random": Counter(min(2048, int(r.expovariate(1 / 500)) + 1) for _ in range(20_000)),
+        "one length": {1500: 1000},
+        "short": {1: 3000, 2: 50},
+        "few": {700: 1, 3: 2, 2047: 1},
+    }[kind]
+    free = {n: -(-c // 16) for n, c in counts.items() if n < 2048}
+    plan = packing.Plan({n: c - free.get(n, 0) for n, c in counts.items()}, free, 2048)
+    fill = every_place(plan, counts)
+    assert sorted(fill) == list(range(len(fill))) and max(fill.values()) <= 2048
+    assert sum(0 if not n & (n - 1) else 2048 - n for n in fill.values()) <= plan.padding
+    if kind in ("even", "random"):
+        assert plan.padding == 0 and plan.cut_pieces < 0.05 * sum(counts.values())
+    all_free = packing.Plan({n: c for n, c in counts.items() if n == 2048}, {n: c for n, c in counts.items() if n < 2048}, 2048)
+    assert all_free.padding == 0 and not any(n & (n - 1) for n in every_place(all_free, counts).values() if n < 2048)
+
+
+def test_packing_cuts_few(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = packing.pack(d).filter("doc_tokens < 2048").groupBy("doc_id").count().agg(F.sum((F.col("count") > 1).cast("int")), F.count("doc_id")).first()
+    assert short[0] < 0.15 * short[1]
+
+
+def test_packing_encodes_as_library(library):
+    raw = open(bpe.default_path(), "rb").read()
+    encode = packing._tokenizer(raw, bpe.late_letters())
+    for t in (*(t for _, t in ODD), "a\u088fb <|endoftext|>\U00010940 c  d\u0c5c 12", "<|endoftext|>\u088f"):
+        assert encode(t).tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 # -- 3 ---------------------------------------------------------------------------
