@@ -8,7 +8,17 @@ their domains, with SHA-256 of key, kind, round and other half as round function
 It is a bijection, so equal values get equal pseudonyms in every document and
 different values different ones; separators, lengths and validity stay: a card
 number passes Luhn, a date is a day of 1900 to 2099, an address has four octets.
-E-mail local parts keep the class of every character, domains stay.
+E-mail local parts keep the class of every character, domains stay.  Octets have
+the digits that their new values take, all else keeps its length.
+
+Dates of each format are permuted among the dates of that format: year first; day
+before month, by the digits of either; month before day, with a day over 12 (else
+it reads day first), by the digits of the month.  Formats that can spell every day
+share one permutation, so that 1999-12-31 and 31.12.1999 stay the same day; the
+others permute years and days of the year, and a 29th of February among leap years.
+
+The key isn't in the plan, so neither explain nor the event log shows it: a hash of
+it comes from a scalar subquery on a table of one row.
 
 What doesn't validate is left as it is.  The halves come from substrings or
 remainders, so nothing exceeds a long.  No join, no shuffle, no Python.
@@ -19,7 +29,10 @@ columns pass through unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime
+import hashlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
@@ -50,15 +63,15 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _hash(key: str, kind: str, i: Column, other: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), other.cast("string")), 256)
+def _hash(key: Column, kind: str, i: Column, other: Column) -> Column:
+    return F.sha2(F.concat_ws("|", key, F.lit(kind), i.cast("string"), other.cast("string")), 256)
 
 
 def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def feistel(left: Column, right: Column, a: Column, b: Column, key: Column, kind: str) -> Column:
     """A permutation of the pairs (0 <= l < a, 0 <= r < b) as struct<l, r>."""
 
     def step(x: Column, i: Column) -> Column:
@@ -82,7 +95,7 @@ def _shift(half: Column, pad: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), move), "")
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Column) -> Column:
     local = F.substring_index(m, "@", 1)
     half = F.floor((F.length(local) + 1) / 2).cast("int")
     start = F.struct(F.substring(local, F.lit(1), half).alias("l"), F.substring(local, half + 1, F.length(local)).alias("r"))
@@ -126,7 +139,7 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column) -> Column:
     def change(d: Column) -> Column:
         n = F.length(d) - 1  # the last digit is computed
         half = F.floor((n + 1) / 2).cast("int")
@@ -138,13 +151,13 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), lambda d: F.when(luhn_sum(d) % 10 == 0, _fill(m, change(d))).otherwise(m))
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column) -> Column:
     o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
     mixed = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip")
     return _let(mixed, lambda x: F.concat_ws(".", F.shiftright(x["l"], 8), x["l"] % 256, F.shiftright(x["r"], 8), x["r"] % 256))
 
 
-def _ssn(m: Column, key: str) -> Column:
+def _ssn(m: Column, key: Column) -> Column:
     """Areas 001 to 899 but 666, groups from 01, serials from 0001."""
     d = _digits(m)
     area, group, serial = F.substring(d, 1, 3).cast("long"), F.substring(d, 4, 2).cast("long"), F.substring(d, 6, 4).cast("long")
@@ -159,7 +172,7 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, _let(mixed, spell)).otherwise(m)
 
 
-def _phone(m: Column, key: str) -> Column:
+def _phone(m: Column, key: Column) -> Column:
     """The last ten digits; numbers whose area begins with 2 to 9 stay so."""
 
     def change(d: Column) -> Column:
@@ -174,28 +187,77 @@ def _phone(m: Column, key: str) -> Column:
     return _let(_digits(m), lambda d: _fill(m, change(d)))
 
 
-def _date(m: Column, key: str) -> Column:
+#: Days of a year that isn't a leap year, from 0.
+_YEAR = [datetime.date(2001, 1, 1) + datetime.timedelta(i) for i in range(365)]
+#: Formats that can't spell every day: which days they can spell, and whether a 29th of February.
+_PARTIAL = {
+    "d/m": ([i for i, x in enumerate(_YEAR) if x.day < 10 and x.month < 10], False),
+    "d/mm": ([i for i, x in enumerate(_YEAR) if x.day < 10], False),
+    "dd/m": ([i for i, x in enumerate(_YEAR) if x.month < 10], True),
+    "m/DD": ([i for i, x in enumerate(_YEAR) if x.day > 12 and x.month < 10], True),
+    "mm/DD": ([i for i, x in enumerate(_YEAR) if x.day > 12], True),
+}
+
+
+def _days(form: str, day: Column, key: Column) -> Column:
+    """The date that stands for ``day`` among those that a format of ``_PARTIAL`` can spell."""
+    days, leap = _PARTIAL[form]
+    table = F.expr(f"array({', '.join(map(str, days))})")
+    year, first = F.year(day).cast("long") - 1900, F.lit("2001-01-01").cast("date")
+    at = F.datediff(F.make_date(F.lit(2001), F.month(day), F.dayofmonth(day)), first)
+    mixed = feistel(year, F.array_position(table, at) - 1, F.lit(200), F.lit(len(days)), key, form)
+
+    def spell(x: Column) -> Column:
+        other = F.date_add(first, F.element_at(table, (x["r"] + 1).cast("int")))
+        return F.make_date((x["l"] + 1900).cast("int"), F.month(other), F.dayofmonth(other))
+
+    out = _let(mixed, spell)
+    if not leap:
+        return out
+    # leap years from 1904 to 2096 are 49, seven times seven
+    n = F.floor((year - 4) / 4).cast("long")
+    leaps = _let(feistel(F.floor(n / 7), n % 7, F.lit(7), F.lit(7), key, "leap " + form), lambda x: F.make_date(((x["l"] * 7 + x["r"]) * 4 + 1904).cast("int"), F.lit(2), F.lit(29)))
+    return F.when((F.month(day) == 2) & (F.dayofmonth(day) == 29), leaps).otherwise(out)
+
+
+def _date(m: Column, key: Column) -> Column:
     """Year first, or day and month before the year: day first where that is a date, else month first."""
-    first = m.rlike(r"^\d{4}")
     p = F.split(m, r"[-/.]")
     whole = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    order = F.when(first, "ymd").when(p[1].cast("int") <= 12, "dmy").otherwise("mdy")
-    day = F.when(first, whole(p[0], p[1], p[2])).when(p[1].cast("int") <= 12, whole(p[2], p[1], p[0])).otherwise(whole(p[2], p[0], p[1]))
-    days = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
+    day_first, wide = p[1].cast("int") <= 12, lambda at: F.length(p[at]) == 2
+    form = (
+        F.when(m.rlike(r"^\d{4}"), "ymd")
+        .when(day_first, F.concat(F.when(wide(0), "dd").otherwise("d"), F.when(wide(1), "/mm").otherwise("/m")))
+        .otherwise(F.when(wide(0), "mm/DD").otherwise("m/DD"))
+    )
 
-    def spell(x: Column) -> Column:
-        new = F.date_add(F.lit("1900-01-01").cast("date"), (x["l"] * 229 + x["r"]).cast("int"))
-        sep = F.regexp_extract(m, r"[-/.]", 0)
-        two = lambda part, at: F.when(F.length(p[at]) == 2, _pad(part, 2)).otherwise(part.cast("string"))
-        year, month, d = _pad(F.year(new), 4), F.month(new), F.dayofmonth(new)
-        return (
-            F.when(order == "ymd", F.concat(year, sep, _pad(month, 2), sep, _pad(d, 2)))
-            .when(order == "dmy", F.concat(two(d, 0), sep, two(month, 1), sep, year))
-            .otherwise(F.concat(two(month, 0), sep, two(d, 1), sep, year))
-        )
+    def dated(x: Column) -> Column:
+        form = x["form"]
+        day = F.when(form == "ymd", whole(p[0], p[1], p[2])).when(form.endswith("DD"), whole(p[2], p[0], p[1])).otherwise(whole(p[2], p[1], p[0]))
+        return F.struct(form.alias("form"), day.alias("day"))
+
+    def change(x: Column) -> Column:
+        form, day = x["form"], x["day"]
+        days = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
 
-    # 1900 to 2099 are 73,049 days, 319 times 229
-    return F.when(days.isNotNull() & (days >= 0) & (days < 73049), _let(feistel(F.floor(days / 229), days % 229, F.lit(319), F.lit(229), key, "date"), spell)).otherwise(m)
+        def spell(new: Column) -> Column:
+            sep = F.regexp_extract(m, r"[-/.]", 0)
+            part = lambda number, at: F.when(wide(at), _pad(number, 2)).otherwise(number.cast("string"))
+            year, month, d = _pad(F.year(new), 4), F.month(new), F.dayofmonth(new)
+            return (
+                F.when(form == "ymd", F.concat(year, sep, _pad(month, 2), sep, _pad(d, 2)))
+                .when(form.endswith("DD"), F.concat(part(month, 0), sep, part(d, 1), sep, year))
+                .otherwise(F.concat(part(d, 0), sep, part(month, 1), sep, year))
+            )
+
+        # 1900 to 2099 are 73,049 days, 17 times 4,297
+        all_days = _let(feistel(F.floor(days / 4297), days % 4297, F.lit(17), F.lit(4297), key, "date"), lambda y: F.date_add(F.lit("1900-01-01").cast("date"), (y["l"] * 4297 + y["r"]).cast("int")))
+        new = F.when(form.isin("ymd", "dd/mm"), all_days)
+        for name in _PARTIAL:
+            new = new.when(form == name, _days(name, day, key))
+        return F.when(days.isNotNull() & (days >= 0) & (days < 73049), _let(new, spell)).otherwise(m)
+
+    return _let(_let(F.struct(form.alias("form")), dated), change)
 
 
 def kind_of(m: Column) -> Column:
@@ -205,7 +267,7 @@ def kind_of(m: Column) -> Column:
     return out.otherwise("phone")
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: Column) -> Column:
     """The replacement of a found value."""
     by_kind = {"email": _email, "date": _date, "ip": _ip, "card": _card, "ssn": _ssn}
     out = None
@@ -215,14 +277,21 @@ def pseudonym(m: Column, key: str) -> Column:
     return out.otherwise(_phone(m, key))
 
 
+def hidden(spark: SparkSession, key: str) -> Column:
+    """A hash of the key, as a scalar subquery whose value no plan shows."""
+    import pyarrow as pa
+
+    return spark.createDataFrame(pa.table({"key": [hashlib.sha256(key.encode()).hexdigest()]})).scalar()
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` replaced; ``counts`` adds n_<kind>, what was changed by kind."""
     taken = set(docs.columns)
     own = lambda name: next(n for n in (f"{name}{'_' * i}" for i in range(99)) if n not in taken)
-    found, new = own("_found"), own("_new")
+    found, new, secret = own("_found"), own("_new"), own("_key")
     # a value has a digit or an at sign: texts without aren't searched
     step = docs.withColumn(found, F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    step = step.withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
+    step = step.withColumn(secret, hidden(docs.sparkSession, key)).withColumn(new, F.transform(found, lambda m: pseudonym(m, F.col(secret))))
     gaps = F.split(F.col(text), PATTERN, -1)
     joined = F.array_join(F.zip_with(gaps, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     changed = {k: F.size(F.filter(F.zip_with(found, new, lambda a, b: F.when(a != b, kind_of(a))), lambda x: x == k)) for k in KINDS} if counts else {}

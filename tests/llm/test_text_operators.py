@@ -415,13 +415,88 @@ def test_pii_formats(spark):
     assert luhn(re.search("see (.+), then", got[0])[1]) and luhn(re.search("see (.+), then", got[1])[1])
     assert all(int(x) < 256 for x in re.search("see (.+), then", got[3])[1].split("."))
     y, m, d = re.search("see (.+), then", got[4])[1].split("-")
-    assert re.search("see (.+), then", got[5])[1] == f"{d}.{m}.{y}" and re.search("see (.+), then", got[6])[1] == f"{m}/{d}/{y}"
+    assert re.search("see (.+), then", got[5])[1] == f"{d}.{m}.{y}"
     assert {r["text"] for r in pii.pseudonymise(df, "other", counts=False).collect()}.isdisjoint(got.values())
 
 
 def test_pii_is_a_permutation(spark):
-    df = spark.range(319 * 229).select(F.col("id"), pii.feistel(F.floor(F.col("id") / 229), F.col("id") % 229, F.lit(319), F.lit(229), "k", "t").alias("x"))
-    assert df.select((F.col("x.l") * 229 + F.col("x.r")).alias("y")).distinct().filter("y between 0 and 73050").count() == 319 * 229
+    df = spark.range(17 * 4297).select(F.col("id"), pii.feistel(F.floor(F.col("id") / 4297), F.col("id") % 4297, F.lit(17), F.lit(4297), F.lit("k"), "t").alias("x"))
+    assert df.select((F.col("x.l") * 4297 + F.col("x.r")).alias("y")).distinct().filter("y between 0 and 73048").count() == 17 * 4297
+
+
+def spellings(form):
+    """Every date of a format, as its pseudonyms must be: 'd' and 'm' one digit, 'DD' a day over 12."""
+    import datetime
+
+    day = datetime.date(1900, 1, 1)
+    while day.year < 2100:
+        y, m, d = day.year, day.month, day.day
+        out = {
+            "y-m-d": f"{y}-{m:02}-{d:02}", "y/m/d": f"{y}/{m:02}/{d:02}", "dd.mm": f"{d:02}.{m:02}.{y}", "dd/mm": f"{d:02}/{m:02}/{y}", "dd/m": f"{d:02}/{m}/{y}" if m < 10 else None,
+            "d/mm": f"{d}/{m:02}/{y}" if d < 10 else None, "d/m": f"{d}/{m}/{y}" if d < 10 and m < 10 else None, "mm/DD": f"{m:02}/{d}/{y}" if d > 12 else None, "m/DD": f"{m}/{d}/{y}" if d > 12 and m < 10 else None,
+        }[form]
+        if out:
+            yield out
+        day += datetime.timedelta(1)
+
+
+@pytest.mark.parametrize("form", ["y-m-d", "dd.mm", "dd/m", "d/mm", "d/m", "mm/DD", "m/DD"])
+def test_pii_permutes_the_dates_of_each_format(spark, form):
+    import pandas as pd
+
+    every = list(spellings(form))
+    df = spark.createDataFrame(pd.DataFrame({"doc_id": range(len(every)), "text": every}))
+    got = [r["text"] for r in pii.pseudonymise(df.repartition(8), "k", counts=False).collect()]
+    assert len(set(got)) == len(got) and set(got) == set(every)
+
+
+def test_pii_small_formats_are_permuted(spark):
+    """All values of a block of each other format: distinct, of the same format, and so in both directions."""
+    values = {
+        "ip": [f"10.{a}.{b}.7" for a in range(40) for b in range(40)],
+        "ssn": [f"{a:03}-{b:02}-0001" for a in range(1, 900, 7) if a != 666 for b in range(1, 100, 9)],
+        "phone": [f"({a:03}) 555-{b:04}" for a in range(0, 1000, 9) for b in range(0, 10000, 997)],
+        "email": [f"{x}{y}.{n}@a.org" for x in "abXY" for y in "klmn" for n in range(60)],
+    }
+    for kind, every in values.items():
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(every)], "doc_id long, text string")
+        rows = pii.pseudonymise(df, "k").collect()
+        assert len({r["text"] for r in rows}) == len(every)
+        assert sum(r[f"n_{kind}"] for r in rows) >= 0.98 * len(every)
+        shape = lambda v: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d+" if kind == "ip" else r"\d", "9", v)))
+        assert {r["doc_id"]: shape(r["text"]) for r in rows} == {i: shape(v) for i, v in enumerate(every)}
+
+
+def test_pii_feistel_as_written_in_python(spark):
+    def plain(l, r, a, b, key, kind):
+        for i in range(pii.ROUNDS):
+            h = lambda x: int(hashlib.sha256(f"{key}|{kind}|{i}|{x}".encode()).hexdigest()[:15], 16)
+            l, r = ((l + h(r) % a) % a, r) if i % 2 == 0 else (l, (r + h(l) % b) % b)
+        return l, r
+
+    secret = hashlib.sha256(b"k").hexdigest()
+    rows = [(0, "39.197.112.39"), (1, "123-45-6789"), (2, "1999-12-31"), (3, "4111 1111 1111 1111")]
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k", counts=False).collect()}
+    l, r = plain(39 * 256 + 197, 112 * 256 + 39, 65536, 65536, secret, "ip")
+    assert got[0] == f"{l >> 8}.{l & 255}.{r >> 8}.{r & 255}"
+    l, r = plain(122 * 99 + 44, 6788, 898 * 99, 9999, secret, "ssn")
+    area = l // 99
+    assert got[1] == f"{area + 1 + (area >= 665):03}-{l % 99 + 1:02}-{r + 1:04}"
+    import datetime
+
+    n = (datetime.date(1999, 12, 31) - datetime.date(1900, 1, 1)).days
+    l, r = plain(n // 4297, n % 4297, 17, 4297, secret, "date")
+    assert got[2] == str(datetime.date(1900, 1, 1) + datetime.timedelta(l * 4297 + r))
+    l, r = plain(41111111, 1111111, 10**8, 10**7, secret, "card")
+    digits = f"{l:08}{r:07}"
+    full = next(digits + str(c) for c in range(10) if luhn(digits + str(c)))
+    assert got[3].replace(" ", "") == full
+
+
+def test_pii_key_stays_out_of_plans(docs):
+    secret = "a-very-secret-key"
+    plan = pii.pseudonymise(docs, secret)._jdf.queryExecution().toString()
+    assert secret not in plan and hashlib.sha256(secret.encode()).hexdigest() not in plan
 
 
 def test_pii_leaves_the_rest(spark, odd, none):
