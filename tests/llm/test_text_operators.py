@@ -196,18 +196,59 @@ def test_packing_encodes_as_library(library):
 
 # -- 3 ---------------------------------------------------------------------------
 def test_index_is_exact():
-    r = random.Random(2)
+    r = np.random.default_rng(2)
     rows = []
-    for i in range(500):
-        v = {r.randrange(40): r.random() for _ in range(r.randint(1, 6))}
-        n = math.sqrt(sum(x * x for x in v.values()))
-        rows.append((i, i % 2, {t: x / n for t, x in v.items()}))
+    for i in range(900):
+        terms = np.sort(r.choice(40, r.integers(1, 7), replace=False))
+        w = r.random(len(terms))
+        rows.append((i, i % 2, terms, w / np.sqrt((w * w).sum())))
     index = toxicity.Index(rows, 40)
-    for i, _, q in rows[:80]:
-        got = [(round(s, 9), int(index.ids[k])) for s, k in index.nearest(q, 7)]
-        every = sorted(((-round(sum(w * v.get(t, 0) for t, w in q.items()), 9), j) for j, _, v in rows))
-        assert got == [(-s, j) for s, j in every[:7] if s < 0]
-        assert i in [j for _, j in got]
+    dense = np.zeros((900, 40))
+    for i, _, t, w in rows:
+        dense[i, t] = w
+    for i, _, t, w in rows[:80]:
+        found, near = index.nearest(t, w, 7)
+        every = dense @ dense[i]
+        order = np.lexsort((np.arange(900), -every.round(12)))[:7]
+        assert np.allclose(near, every[order], atol=1e-6) and i in index.ids[found]
+        assert (np.diff(near) <= 0).all()
+
+
+def test_isotonic():
+    steps, shares = toxicity.isotonic([0.1, 0.2, 0.3, 1.0, 1.0, 1.0], [0, 0, 0, 0, 1, 1])
+    assert steps.tolist() == [0.1, 0.3, 1.0, 1.0] and shares.tolist() == pytest.approx([1 / 5, 1 / 5, 3 / 5, 3 / 5])
+    steps, shares = toxicity.isotonic([0.1, 0.2, 0.9], [0, 1, 0])
+    assert steps.tolist() == [0.1, 0.1, 0.2, 0.9] and shares.tolist() == pytest.approx([1 / 3, 1 / 3, 1 / 2, 1 / 2])
+
+
+def test_toxicity_score_equals_brute_force(spark):
+    """The whole score of every document from dictionaries: features, weights, all cosines, votes, calibration."""
+    d, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(toxicity.labelled(d, labels))
+    texts = {r.doc_id: r.text for r in d.collect()}
+    words = lambda t: [w for w in re.findall(r"\w+", t.lower())]
+    feats = {i: Counter(f for w in words(t) for f in ["=" + w] + ([w[:5]] if len(w) > 5 else [])) for i, t in texts.items()}
+    known, label = {int(i) for i in model.index.ids}, {r.doc_id: r.toxic for r in labels.collect()}
+    assert known and all(fold(i, 5) for i in known)
+    vocabulary = {f for i in known for f in feats[i]}
+    assert vocabulary == set(model.terms)
+    weight = {f: model.weight[i] for f, i in model.terms.items()}
+
+    def vector(i):
+        v = {f: (1 + math.log(n)) * weight[f] for f, n in feats[i].items() if f in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {f: x / size for f, x in v.items()}
+
+    examples = {i: vector(i) for i in known}
+    for r in toxicity.score(d, labels).collect():
+        q = vector(r["doc_id"])
+        near = sorted(((sum(w * v.get(f, 0) for f, w in q.items()), -i) for i, v in examples.items()), reverse=True)[: model.k]
+        near = [(s, -i) for s, i in near if s > 0]
+        vote = sum(s * label[i] for s, i in near) / sum(s for s, _ in near) if near else None
+        want = model.base if vote is None else float(np.interp(vote, model.steps, model.shares))
+        assert r["score"] == pytest.approx(want, abs=1e-6) and r["predicted"] == (r["score"] >= 0.5)
+        assert [e["doc_id"] for e in r["evidence"]] == [i for _, i in near[:5]]
+        assert r["held_out"] == (fold(r["doc_id"], 5) == 0)
 
 
 def test_toxicity_learns(spark):
@@ -223,7 +264,11 @@ def test_toxicity_learns(spark):
 def test_toxicity_cases(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (5, None), (6, 0), (7, 0), (8, 0), (9, 0)], "doc_id long, toxic int")
     got = toxicity.score(odd, labels).collect()
-    assert len(got) == len(ODD) and {r["predicted"] for r in got} == {0}
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    rows = [(i, f"some plain words {i} here and there {'kind friend' if i % 3 else 'you idiot fool'}", int(i % 3 == 0)) for i in range(400)] + [(900 + i, t, None) for i, (_, t) in enumerate(ODD)]
+    table = spark.createDataFrame([(*r, "clash", 0.5) for r in rows], "doc_id long, text string, toxic int, evidence string, score double")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(table, table.select("doc_id", "toxic")).collect()}
+    assert all(got[i] == (i % 3 == 0) for i in range(400)) and got[900] == got[901] == 0
     assert toxicity.score(none, labels).count() == 0
     assert toxicity.score(odd, labels.filter("false")).count() == len(ODD)
 
