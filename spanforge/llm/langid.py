@@ -12,11 +12,12 @@ before it, and each worker computes it once.  Words are those between ASCII whit
 space of the lower-cased text.
 
 The language with the shortest code wins.  ``score`` is its share in a softmax of
-the code lengths per square root of the bytes, at a temperature fitted on a part
+the code lengths per square root of the bytes, at a temperature fitted on a fifth
 of the sample that the trees didn't see.
 
 Bounded sample: at most about ``PER_LANGUAGE`` documents of each language, chosen
-by a hash of the id.  Everything is scored.
+by a hash of the id.  Executors count its words; the driver gets counts of distinct
+words and code lengths of the held-out fifth, no texts.  Everything is scored.
 
 Cases.  Null text, or text without a letter: ``und`` with score 0, as is every
 text if nothing is labelled.  Repeated rows repeat.  Null labels aren't learned.
@@ -29,6 +30,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -111,12 +113,12 @@ class Tree:
 class Model:
     """All languages side by side: one lookup gives the costs in every language."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.languages = sorted(samples)
+    def __init__(self, counts: dict[str, Counter], order: int = ORDER):
+        """counts: how often each word (bytes) occurs in a language."""
+        self.languages = sorted(counts)
         self.order = order
         self.temperature = 1.0
-        fit = {g: Counter(w for i, t in enumerate(samples[g]) if i % 5 or len(samples[g]) < 5 for w in _words(t)) for g in self.languages}
-        trees = [Tree(fit[g], order) for g in self.languages]
+        trees = [Tree(counts[g], order) for g in self.languages]
         self.keys, self.cost, self.contexts, self.escape = [], [], [], []
         for k in range(order + 1):
             keys = np.unique(np.concatenate([t.keys[k] for t in trees])) if trees else np.empty(0, np.uint64)
@@ -125,12 +127,13 @@ class Model:
             self.cost.append(np.stack([t.bits(keys, k) for t in trees], 1).astype(np.float32) if trees else np.empty((0, 0)))
             self.contexts.append(contexts)
             self.escape.append(np.stack([t.escapes(contexts, k) for t in trees], 1).astype(np.float32) if trees else np.empty((0, 0)))
-        if len(self.languages) > 1:
-            held = [(j, t) for j, g in enumerate(self.languages) for t in samples[g][::5] if _letter(t)]
-            table = np.array([self.scaled(t) for _, t in held]) if held else np.empty((0, len(self.languages)))
-            truth = np.array([j for j, _ in held], int)
-            tries = 2.0 ** np.arange(-8, 5, 0.5)
-            self.temperature = float(min(tries, key=lambda x: self._loss(table * x, truth)))
+
+    def calibrate(self, held: list[tuple[str, list[float]]]) -> None:
+        """held: language and scaled code lengths (``scaled``) of texts that the trees didn't see."""
+        known = [(self.languages.index(g), z) for g, z in held if g in self.languages]
+        if known and len(self.languages) > 1:
+            table, truth = np.array([z for _, z in known]), np.array([j for j, _ in known], int)
+            self.temperature = float(min(2.0 ** np.arange(-8, 5, 0.5), key=lambda x: self._loss(table * x, truth)))
 
     @staticmethod
     def _loss(z: np.ndarray, truth: np.ndarray) -> float:
@@ -173,7 +176,8 @@ class Model:
 class Scorer:
     """A model and the words that a worker has met."""
 
-    REMEMBER = 150_000
+    #: Words remembered; none beyond so many bytes outlasts its batch.
+    REMEMBER, LONGEST = 150_000, 4096
 
     def __init__(self, model: Model):
         self.model = model
@@ -183,15 +187,17 @@ class Scorer:
             def __missing__(self, word: bytes) -> int:
                 self[word] = out = len(self)
                 scorer.new.append(word)
+                scorer.long |= len(word) > scorer.LONGEST
                 return out
 
+        self.long = False  # a very long word is there: forget all after this call
         self.ids, self.new, self.bits = Ids(), [], np.empty((0, len(model.languages)))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         model = self.model
-        if len(self.ids) > self.REMEMBER:
+        if len(self.ids) > self.REMEMBER or self.long:
             self.ids.clear()
-            self.bits = self.bits[:0]
+            self.bits, self.long = self.bits[:0], False
         found = []
         for text in texts:
             if text is None or not model.languages or not _letter(text):
@@ -222,10 +228,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * F.lit(float(1 << 30))
     draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1 << 30))
     taken = rows.select("doc_id", "lang", "text").join(F.broadcast(counts), "lang").filter(draw < share)
-    samples: dict[str, list[str]] = {}
-    for r in sorted(taken.select("doc_id", "lang", "text").collect(), key=lambda r: (r.lang, -1 if r.doc_id is None else r.doc_id, r.text)):
-        samples.setdefault(r.lang, []).append(r.text)
-    return Model(samples)
+    # a language with few texts needs them all
+    apart = (F.pmod(F.xxhash64(F.lit("temperature"), F.col("doc_id"), F.col("text")), F.lit(5)) == 0) & (F.col("n") >= 10)
+    taken = taken.select("lang", "text", apart.alias("apart"))
+
+    def count(batches):
+        found: dict[str, Counter] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.setdefault(lang, Counter()).update(_words(text))
+        for lang, words in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
+
+    words = taken.filter("not apart").select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    samples: dict[str, Counter] = {}
+    for r in words.collect():
+        samples.setdefault(r["lang"], Counter())[bytes(r["word"])] = r["n"]
+    model = Model({g: Counter(dict(sorted(c.items()))) for g, c in samples.items()})
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), fresh("langid-fit")
+
+    def lengths(rows: dict) -> dict:
+        own = per_worker(key, lambda: sent.value)
+        return {"lang": rows["lang"], "z": [own.scaled(t).tolist() if _letter(t) else [] for t in rows["text"]]}
+
+    held = map_rows(taken.filter("apart"), ["lang", "text"], "lang string, z array<double>", lengths).collect()
+    model.calibrate([(r["lang"], r["z"]) for r in held if r["z"]])
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -568,7 +568,7 @@ def test_ppm_sums_to_one():
 
 def test_ppm_word_costs_are_those_of_each_tree():
     samples = {"x": ["abab abc", "abc abd"], "y": ["zyz zzy yzy"]}
-    model = langid.Model(samples)
+    model = langid.Model({g: Counter(w for t in texts for w in langid._words(t)) for g, texts in samples.items()})
     words = [b"abab", b"zq", b"abczy", b"\xc3\xa9t"]
     got = model.word_bits(words)
     for j, g in enumerate(model.languages):
@@ -776,6 +776,21 @@ def test_simhash_brute(docs):
     assert all(c == min(m) for c, m in same.items())
 
 
+@pytest.mark.parametrize("radius", [3, 2, 1, 0])
+def test_links_are_those_of_whole_balls(spark, radius):
+    """Balls around whole fingerprints give every pair; balls around halves the same components."""
+    r, fps = random.Random(radius), set()
+    for _ in range(12):
+        x = r.getrandbits(64)
+        fps |= {x, *(x ^ sum(1 << b for b in r.sample(range(64), n)) for n in (1, 2, 3, 4))}
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    marks = spark.createDataFrame([(f,) for f in fps], "fp long")
+    whole = {(x["a"], x["b"]) for x in simhash.whole_ball_links(marks, radius).collect()}
+    assert whole == {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
+    halves = {(x["a"], x["b"]) for x in simhash.links(marks, radius).collect()}
+    assert {(min(p), max(p)) for p in halves} == whole
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     root = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
@@ -793,3 +808,8 @@ def test_simhash_cases(odd, none):
     assert kept.columns == odd.columns
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 4, None, 5, 6, 7, 8]) + Counter([10] if by[10]["component_id"] == 10 else [])
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+    clash = odd
+    for name in ("mark", "want_id", "want_mark", "times", "n", "component_id", "_mark", "_id", "_fp", "_times", "root"):
+        clash = clash.withColumn(name, F.lit(3))
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and kept.count() == simhash.keep_one(odd).count()
