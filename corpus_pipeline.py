@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.llm import langid, packing, pii, simhash, toxicity
-from spanforge.llm.common import read, shared_folder
+from spanforge.llm.common import read, remove, shared_folder
 
 #: The share of the best language below which a document goes.
 LEAST_LANGUAGE = 0.3
@@ -64,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what each keeps is written to the shared folder and read again by the next."""
+    """All stages; what each keeps is written to the shared folder and read again by the next, and removed after that."""
     docs = read(spark, sf_dir, "documents")
-    folder = shared_folder(spark, "pipeline")
+    folder, before = shared_folder(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
