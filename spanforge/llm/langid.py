@@ -241,10 +241,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 
     words = taken.filter("not apart").select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = words.orderBy("lang", "word").toArrow()
     samples: dict[str, Counter] = {}
-    for r in words.collect():
-        samples.setdefault(r["lang"], Counter())[bytes(r["word"])] = r["n"]
-    model = Model({g: Counter(dict(sorted(c.items()))) for g, c in samples.items()})
+    for batch in got.to_batches(max_chunksize=10_000):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            samples.setdefault(lang, Counter())[word] = n
+    del got
+    model = Model(samples)
+    del samples
     sent, key = docs.sparkSession.sparkContext.broadcast(model), fresh("langid-fit")
 
     def lengths(rows: dict) -> dict:

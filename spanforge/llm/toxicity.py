@@ -95,7 +95,9 @@ class Index:
         self.table = np.zeros((self.n_blocks, int(often.sum()), BLOCK), np.float32)
         on = often[term] if len(term) else np.empty(0, bool)
         self.table[self.row[on] // BLOCK, self.slot[term[on]], self.row[on] % BLOCK] = self.weight[on]
-        # cells: the postings of one term in one block
+        self.table_most = self.table.max(2).T.astype(np.float64) if self.n_blocks else np.zeros((0, 0))
+        # of the others cells: the postings of one term in one block
+        term, self.row, self.weight = term[~on], self.row[~on], self.weight[~on]
         cell = term * max(self.n_blocks, 1) + self.row // BLOCK
         self.cell_start = np.flatnonzero(np.diff(cell, prepend=-1))
         self.cell_size = np.diff(np.append(self.cell_start, len(cell)))
@@ -108,18 +110,17 @@ class Index:
         none = np.empty(0, np.int64), np.empty(0)
         if not self.n_blocks or not len(terms):
             return none
+        slot = self.slot[terms]
+        slots, w = slot[slot >= 0], weights[slot >= 0]
         first = self.term_start[terms]
         many = self.term_start[terms + 1] - first
         cells, own = _ranges(first, many), np.repeat(weights, many)
         block = self.cell_block[cells]
-        bound = np.bincount(block, own * self.cell_most[cells], self.n_blocks)
-        slot = self.slot[terms]
-        slots, w = slot[slot >= 0], weights[slot >= 0].astype(np.float32)
-        rare = np.repeat(slot < 0, many)
-        cells, own, block = cells[rare], own[rare], block[rare]
+        bound = np.bincount(block, own * self.cell_most[cells], self.n_blocks) + w @ self.table_most.take(slots, 0)
+        w = w.astype(np.float32)
         scores, kth, left, step = np.zeros(self.n_blocks * BLOCK), 0.0, np.argsort(-bound, kind="stable"), 4
         while len(left := left[(bound[left] > 0) & (bound[left] >= kth - 1e-6)]):
-            now, left, step = left[:step], left[step:], 2 * step
+            now, left, step = left[:step], left[step:], self.n_blocks
             for b in now.tolist():
                 scores[b * BLOCK : (b + 1) * BLOCK] = w @ self.table[b].take(slots, 0)
             chosen = np.zeros(self.n_blocks, bool)
@@ -151,26 +152,40 @@ def isotonic(x: list[float], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """What scoring needs: features of at most ``EXAMPLES`` texts, their weights, the index, the calibration."""
 
-    def __init__(self, examples: list[tuple[int, int, dict[str, int]]], seen: dict[str, tuple[int, int]], n_pos: int, n_neg: int, k: int = NEIGHBOURS):
-        """examples: (id, label, {feature: occurrences}); seen: documents with a feature, with the label and without, of ``n_pos`` and ``n_neg``."""
+    def __init__(self, terms: dict[str, int], examples: list[tuple[int, int, np.ndarray, np.ndarray]], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, k: int = NEIGHBOURS):
+        """examples: (id, label, terms, occurrences); pos, neg: documents with a term, with the label and without, of ``n_pos`` and ``n_neg``."""
         self.k, self.base = k, (n_pos + 1) / (n_pos + n_neg + 2) if n_pos + n_neg else 0.25
-        names = sorted({f for e in examples for f in e[2]})
-        self.terms = {f: i for i, f in enumerate(names)}
-        pos, neg = np.array([seen.get(f, (0, 0)) for f in names], float).reshape(-1, 2).T
-        n, share = pos + neg, self.base
+        self.terms, n, share = terms, pos + neg, self.base
         with np.errstate(divide="ignore", invalid="ignore"):
             nats = np.where(pos > 0, pos * np.log(pos / (n * share)), 0) + np.where(neg > 0, neg * np.log(neg / (n * (1 - share))), 0)
             nats = np.where(pos > n * share, np.maximum(nats, 0), 0)
         self.weight = (np.log((1 + n_pos + n_neg) / (1 + n)) + 1) * (LEAST + (1 - LEAST) * (1 - np.exp(-np.maximum(nats - CHANCE, 0) / NATS)))
-        rows = [(e[0], e[1], *self.vector({self.terms[f]: c for f, c in e[2].items()})) for e in examples]
-        self.index = Index([r for r in rows if len(r[2])], len(names))
+        self.index = Index([(e[0], e[1], *self.weighed(e[2], e[3])) for e in examples if len(e[2])], len(terms))
         self.steps, self.shares = np.array([0.0]), np.array([self.base])
+        self.sent = None  # the broadcast that has it, once there is one
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "sent": None}
+
+    def share_out(self, spark):
+        """One broadcast for calibration and scoring; the calibration itself, a few numbers, goes with each job."""
+        self.sent = self.sent or (spark.sparkContext.broadcast(self), fresh("toxicity"))
+        (sent, key), steps, shares = self.sent, self.steps, self.shares
+
+        def scorer() -> Scorer:
+            own = per_worker(key, lambda: Scorer(sent.value))
+            own.model.steps, own.model.shares = steps, shares
+            return own
+
+        return scorer
+
+    def weighed(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(times)) * self.weight[terms]
+        return terms, raw / max(float(np.sqrt((raw * raw).sum())), 1e-300)
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of a unit vector."""
-        terms = np.fromiter(counts, np.int64, len(counts))
-        raw = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * self.weight[terms]
-        return terms, raw / max(float(np.sqrt((raw * raw).sum())), 1e-300)
+        return self.weighed(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
 
     def vote(self, counts: dict[int, int]) -> tuple[float | None, np.ndarray, np.ndarray]:
         """Similarity-weighted share of the label among the nearest (None without any), and these."""
@@ -237,24 +252,34 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES, k:
         found = [text_features(t) for t in rows["text"]]
         return {"doc_id": rows["doc_id"], "label": rows["label"], "names": [list(c) for c in found], "times": [list(c.values()) for c in found]}
 
-    got = map_rows(chosen[0].unionByName(chosen[1]), ["doc_id", "label", "text"], "doc_id long, label int, names array<string>, times array<int>", features).collect()
-    picked = sorted(((r["doc_id"], r["label"], dict(zip(r["names"], r["times"], strict=True))) for r in got), key=lambda e: e[:2])
-    asked = spark.sparkContext.broadcast({f for e in picked for f in e[2]})
+    got = map_rows(chosen[0].unionByName(chosen[1]), ["doc_id", "label", "text"], "doc_id long, label int, names array<string>, times array<int>", features).toArrow()
+    terms: dict[str, int] = {}
+    picked = []
+    for i in np.lexsort((got.column("label").to_numpy(), got.column("doc_id").to_numpy())).tolist():
+        doc_id, label, names, times = (got.column(c)[i] for c in ("doc_id", "label", "names", "times"))
+        of = np.array([terms.setdefault(f, len(terms)) for f in names.as_py()], np.int32)
+        picked.append((doc_id.as_py(), label.as_py(), of, np.array(times.as_py(), np.int32)))
+    del got
+    asked = spark.sparkContext.broadcast(list(terms))
 
     def count(batches):
-        known, both = asked.value, (Counter(), Counter())
+        known, both = {f: i for i, f in enumerate(asked.value)}, (Counter(), Counter())
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                both[label].update(f for f in text_features(text) if f in known)
-        names = list(both[0].keys() | both[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([both[y][x] for x in names], pa.int64()) for y in (1, 0))], names=["feature", "pos", "neg"])
-
-    sums = learn.select("text", "label").mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    model = Model(picked, {r["feature"]: (r["pos"], r["neg"]) for r in sums.collect()}, n_pos, n_neg, k)
-    sent, key = spark.sparkContext.broadcast(model), fresh("toxicity-votes")
+                both[label].update(known[f] for f in text_features(text) if f in known)
+        numbers = list(both[0].keys() | both[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), *(pa.array([both[y][x] for x in numbers], pa.int64()) for y in (1, 0))], names=["term", "pos", "neg"])
+
+    sums = learn.select("text", "label").mapInArrow(count, "term int, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    asked.unpersist()
+    pos, neg = np.zeros(len(terms)), np.zeros(len(terms))
+    at = sums.column("term").to_numpy()
+    pos[at], neg[at] = sums.column("pos").to_numpy(), sums.column("neg").to_numpy()
+    model = Model(terms, picked, pos, neg, n_pos, n_neg, k)
+    scorer_of = model.share_out(spark)
 
     def votes(rows: dict) -> dict:
-        scorer = per_worker(key, lambda: Scorer(sent.value))
+        scorer = scorer_of()
         return {"vote": [scorer.model.vote(scorer.counts(t))[0] for t in rows["text"]], "label": rows["label"]}
 
     model.calibrate([tuple(r) for r in map_rows(taken.filter("part = 0"), ["text", "label"], "vote double, label int", votes).collect()])
@@ -263,11 +288,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES, k:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (similarity, doc_id and label of the nearest examples) for every row."""
-    sc = docs.sparkSession.sparkContext
-    sent, key = sc.broadcast(model), fresh("toxicity")
+    scorer_of = model.share_out(docs.sparkSession)
 
     def work(rows: dict) -> dict:
-        scorer = per_worker(key, lambda: Scorer(sent.value))
+        scorer = scorer_of()
         scores, evidence = [], []
         index = scorer.model.index
         for text in rows["text"]:
@@ -281,10 +305,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, below: float = 0.5, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score less than ``below``."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), fresh("toxicity")
+    scorer_of = model.share_out(docs.sparkSession)
 
     def decide(texts: list) -> list[bool]:
-        scorer = per_worker(key, lambda: Scorer(sent.value))
+        scorer = scorer_of()
         return [scorer.model.score(scorer.counts(t))[0] < below for t in texts]
 
     return filter_rows(docs, text, decide)
