@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's folder; only where none is named (tests), set one."""
+    """Use the cluster's folder; only where none is named and all runs in one process (tests), set one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-ckpt-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanforge-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

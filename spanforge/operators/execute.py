@@ -17,15 +17,17 @@ def fetch(plan: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Bytes of each span: what ``stored`` (record_id, offset, length, data binary) holds between its ends, gaps included.
 
     plan: keys, span, span_offset, span_length. Rows of a store stand for its objects'
-    bytes and don't overlap; a span's pieces come from an overlap join on address buckets.
+    bytes and don't overlap; which rows a span needs comes from an overlap join of extents on
+    address buckets, then each row's bytes are joined once by record_id.
     """
     wide = plan.select(*keys, "span", "span_offset", "span_length")
     cell = 1 << 16
     cells = lambda off, size: F.explode(F.sequence(F.floor(off / cell), F.floor((off + size - 1) / cell)))
     left = wide.withColumn("_cell", cells(F.col("span_offset"), F.col("span_length")))
-    right = stored.withColumn("_cell", cells(F.col("offset"), F.col("length")))
+    right = stored.select("record_id", "offset", "length").withColumn("_cell", cells(F.col("offset"), F.col("length")))
     begin, end = F.greatest("span_offset", "offset"), F.least(F.col("span_offset") + F.col("span_length"), sp.end())
     both = left.join(right, "_cell").filter((begin < end) & (F.floor(begin / cell) == F.col("_cell")))
+    both = both.join(stored.select("record_id", "data"), "record_id")
     piece = F.substring(F.col("data"), (begin - F.col("offset") + 1).cast("int"), (end - begin).cast("int"))
     parts = F.array_sort(F.collect_list(F.struct(begin.alias("at"), piece.alias("bytes"))))
     joined = both.groupBy(*keys, "span", "span_offset", "span_length").agg(parts.alias("parts"))

@@ -32,7 +32,7 @@ class Regression:
     """Normalised least mean squares on a projected, clipped error."""
 
     def __init__(self, start: list[float], settings: Settings = Settings()):
-        self.s, self.start = settings, np.array(start, float)
+        self.s, self.start, self.rejected = settings, np.array(start, float), 0
         self.reset()
 
     def reset(self) -> None:
@@ -40,9 +40,12 @@ class Regression:
         self.ratios: deque[float] = deque(maxlen=self.s.ratios)
 
     def observe(self, x: np.ndarray, y: float) -> float:
-        """Take one observation in; returns what was predicted before."""
+        """Take one observation in; returns what was predicted before. What isn't finite or positive is rejected."""
         s = self.s
-        predicted = max(0.0, float(self.theta @ x))
+        predicted = max(0.0, float(self.theta @ x)) if np.isfinite(x).all() else 0.0
+        if not np.isfinite(x).all() or not math.isfinite(y) or y <= 0:
+            self.rejected += 1
+            return predicted
         if predicted > 0:
             self.ratios.append(min(max(y / predicted, 0.25), 16.0))
         error = y - predicted
@@ -50,7 +53,7 @@ class Regression:
         clipped = min(max(error, -s.huber * scale), s.huber * scale)
         norm = float(x @ x)
         step = s.rate * clipped * x / (norm + 1e-9)
-        reach = abs(predicted / math.sqrt(norm)) if norm else 0.0
+        reach = abs(predicted / math.sqrt(norm + 1e-9))
         limit = s.relative_step * np.maximum(np.abs(self.theta), max(reach, 1000.0))
         self.theta = np.clip(self.theta + np.clip(step, -limit, limit), 1.0, np.maximum(50 * self.start, 1e6))
         size = max(abs(error), 1000.0) if self.scale is None else abs(error)
@@ -61,8 +64,8 @@ class Regression:
         return predicted
 
     def tail(self) -> float:
-        """The 95th percentile of recent ratios, at least one; 16 before any."""
-        if not self.ratios:
+        """The 95th percentile of recent ratios, at least one; 16 before there are enough."""
+        if len(self.ratios) < max(self.s.least_observations, 1):
             return 16.0
         ordered = sorted(self.ratios)
         return max(1.0, ordered[math.ceil(0.95 * len(ordered)) - 1])
@@ -79,6 +82,8 @@ class Controller:
         out = self.io.observe(x_io, io_ns), self.decode.observe(x_decode, decode_ns)
         both = (self.io, self.decode)
         if all(r.n >= self.s.least_observations and r.accurate >= self.s.least_accurate for r in both):
+            if not self.active:
+                self._forget_tails()  # they tell how the start converged, not how it runs
             self.active = True
         if self.active and not self.fallback and self.io.inaccurate >= self.s.fallback_after:
             self.fallback = True
@@ -86,8 +91,17 @@ class Controller:
             self.decode.reset()
         elif self.fallback and all(r.accurate >= self.s.fallback_after for r in both):
             self.fallback = False
+            self._forget_tails()
         return out
 
+    def _forget_tails(self) -> None:
+        self.io.ratios.clear()
+        self.decode.ratios.clear()
+
+    def tails(self) -> tuple[float, float]:
+        """How much worse the tail is than forecast, for reading and decoding; 16 while the estimator isn't in use."""
+        return (self.io.tail(), self.decode.tail()) if self.active and not self.fallback else (16.0, 16.0)
+
 
 def features(observed: DataFrame, concurrency: int) -> DataFrame:
     """Feature columns of a window: waves, further ranges per slot, 64 KiB pages; decode units by 16."""
@@ -110,7 +124,7 @@ def trace(observed: DataFrame, io_start: list[float], decode_start: list[float],
         c, out = Controller(io_start, decode_start, settings), []
         for r in rows.sort_values("seq").itertuples(index=False):
             io, dec = c.observe(np.array([r.f_waves, r.f_extra, r.f_pages]), r.io_ns, np.array([1.0, r.f_units]), r.decode_ns)
-            out.append((r.session, r.seq, io, dec, c.io.tail(), c.decode.tail(), c.active, c.fallback))
+            out.append((r.session, r.seq, io, dec, *c.tails(), c.active, c.fallback))
         return pd.DataFrame(out, columns=["session", "seq", "io_predicted_ns", "decode_predicted_ns", "io_tail", "decode_tail", "active", "fallback"])
 
     return observed.groupBy("session").applyInPandas(run, "session long, seq long, io_predicted_ns double, decode_predicted_ns double, io_tail double, decode_tail double, active boolean, fallback boolean")

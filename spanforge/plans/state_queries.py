@@ -467,16 +467,16 @@ def ready_groups(t):
 @query("use_completion", sql(f"""with {_islands(16384)}, n as (select window_id, count(*) as ranges from s_16384 group by 1),
  one as (select t.window_id, t.record_id, count(distinct i.span) as spans, min(i.span) as span from (select distinct window_id, record_id from targets) t join closure cl on cl.target_id = t.record_id join i_16384 i on i.window_id = t.window_id and i.record_id = cl.dep_id group by 1, 2),
  best as (select window_id, max(k) as most from (select window_id, span, count(*) as k from one where spans = 1 group by 1, 2) group by 1)
-select n.window_id, ranges, coalesce(most, 0) as most_ready, ranges > 1 and coalesce(most, 0) >= 32 as use_completion from n left join best on best.window_id = n.window_id""", "needed"))
+select n.window_id, ranges, coalesce(most, 0) as most_ready, ranges > 1 and (coalesce(most, 0) >= 32 or ranges > 32) as use_completion from n left join best on best.window_id = n.window_id""", "needed"))
 def use_completion(t):
-    """Decoding as ranges arrive pays if one range alone makes a micro-batch of targets ready."""
+    """Decoding as ranges arrive pays if one range alone makes a micro-batch of targets ready, or if there are more ranges than a micro-batch has targets."""
     s = spans.numbered(t.needed, WIN, 16384).select("window_id", "record_id", "span")
     e = t.targets.select("window_id", F.col("record_id").alias("target_id")).distinct().join(t.closure.select("target_id", F.col("dep_id").alias("record_id")), "target_id").join(s, ["window_id", "record_id"])
     one = e.groupBy("window_id", "target_id").agg(F.countDistinct("span").alias("_n"), F.min("span").alias("span")).filter("_n = 1")
     best = one.groupBy("window_id", "span").agg(F.count(F.lit(1)).alias("k")).groupBy("window_id").agg(F.max("k").alias("_m"))
     n = s.groupBy("window_id").agg(F.countDistinct("span").alias("ranges"))
     most = F.coalesce("_m", F.lit(0))
-    return n.join(best, "window_id", "left").select("window_id", "ranges", most.alias("most_ready"), ((F.col("ranges") > 1) & (most >= 32)).alias("use_completion"))
+    return n.join(best, "window_id", "left").select("window_id", "ranges", most.alias("most_ready"), ((F.col("ranges") > 1) & ((most >= 32) | (F.col("ranges") > 32))).alias("use_completion"))
 
 
 @query("microbatch", sql("select window_id, record_id, cast(floor((row_number() over (partition by window_id order by \"offset\", record_id) - 1) / 64) as bigint) as microbatch from needed", "needed"))
