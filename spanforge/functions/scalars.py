@@ -86,3 +86,41 @@ def units(stream: bytes) -> list[tuple[int, bytes]]:
         if unit:
             out.append((unit[0] & 0x1F, unit))
     return out
+
+
+def split_units(stream: Column) -> Column:
+    """The units of a start-code stream in order, with their types."""
+
+    @F.pandas_udf("array<struct<unit_type:int,unit:binary>>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else [{"unit_type": k, "unit": u} for k, u in units(bytes(b))])
+
+    return run(stream)
+
+
+def parameter_units(record: bytes) -> tuple[int, bytes]:
+    """Size of the length prefix and the parameter sets, as a start-code stream, of a configuration record."""
+    if len(record) < 7 or record[0] != 1:
+        raise ValueError("not a configuration record of version 1")
+    at, out = 5, b""
+    for mask, kind in ((0x1F, "sequence"), (0xFF, "picture")):
+        if at >= len(record):
+            raise ValueError(f"no count of {kind} sets")
+        count, at = record[at] & mask, at + 1
+        for _ in range(count):
+            end = at + 2 + int.from_bytes(record[at : at + 2], "big")
+            if at + 2 > len(record) or end > len(record):
+                raise ValueError(f"{kind} set is cut")
+            out, at = out + b"\0\0\0\1" + record[at + 2 : end], end
+    if not out:
+        raise ValueError("no parameter sets")
+    return (record[4] & 3) + 1, out
+
+
+def parameter_sets(record: Column) -> Column:
+    @F.pandas_udf("length_size int, stream binary")
+    def run(values: pd.Series) -> pd.DataFrame:
+        found = [(None, None) if b is None else parameter_units(bytes(b)) for b in values]
+        return pd.DataFrame({"length_size": pd.array([n for n, _ in found], "Int32"), "stream": [s for _, s in found]})
+
+    return run(record)

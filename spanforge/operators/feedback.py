@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..model import CostModel
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -114,20 +116,67 @@ def features(observed: DataFrame, concurrency: int) -> DataFrame:
     })
 
 
+#: Columns of a trace: what was forecast, then the state after the observation.
+TRACE = "session long, seq long, io_predicted_ns double, decode_predicted_ns double, io_tail double, decode_tail double, active boolean, fallback boolean, wave_ns double, extra_ns double, page_ns double, fixed_ns double, units_ns double"
+
+
 def trace(observed: DataFrame, io_start: list[float], decode_start: list[float], settings: Settings = Settings()) -> DataFrame:
     """The estimator's state after each observation of a session, in order: a fold per session.
 
-    observed: session, seq, f_waves, f_extra, f_pages, f_units, io_ns, decode_ns.
+    observed: session, seq, f_waves, f_extra, f_pages, f_units, io_ns, decode_ns. Sessions run
+    side by side; one session is a sequence by nature and stays one task, of one row a window.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         c, out = Controller(io_start, decode_start, settings), []
         for r in rows.sort_values("seq").itertuples(index=False):
             io, dec = c.observe(np.array([r.f_waves, r.f_extra, r.f_pages]), r.io_ns, np.array([1.0, r.f_units]), r.decode_ns)
-            out.append((r.session, r.seq, io, dec, *c.tails(), c.active, c.fallback))
-        return pd.DataFrame(out, columns=["session", "seq", "io_predicted_ns", "decode_predicted_ns", "io_tail", "decode_tail", "active", "fallback"])
+            out.append((r.session, r.seq, io, dec, *c.tails(), c.active, c.fallback, *c.io.theta, *c.decode.theta))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in TRACE.split(", ")])
 
-    return observed.groupBy("session").applyInPandas(run, "session long, seq long, io_predicted_ns double, decode_predicted_ns double, io_tail double, decode_tail double, active boolean, fallback boolean")
+    return observed.groupBy("session").applyInPandas(run, TRACE)
+
+
+def models(traced: DataFrame, model: CostModel) -> DataFrame:
+    """The cost model that holds when each window is planned: what the window before it in the session left.
+
+    Adds in_use, wave_first_ns (a wave of one range), wave_step_ns (each further range), bytes_per_ns,
+    decode_fixed_ns, decode_unit_ns, and the two tails. Before the estimator is in use, and during a
+    fallback, the model is ``model`` itself, and both tails are 16.
+    """
+    w = W.partitionBy("session").orderBy("seq")
+    before = lambda c, first: F.coalesce(F.lag(c).over(w), F.lit(first))
+    n = float(model.concurrency)
+    waves = model.waves or (model.latency_ns,) * model.concurrency
+    step = (waves[model.concurrency - 1] - waves[0]) / (n - 1) if n > 1 else 0.0
+    used = before(F.col("active") & ~F.col("fallback"), False)
+    pick = lambda learned, given: F.when(F.col("in_use"), learned).otherwise(F.lit(float(given)))
+    t = traced.withColumn("in_use", used).withColumns({f"_{c}": F.lag(c).over(w) for c in ("wave_ns", "extra_ns", "page_ns", "fixed_ns", "units_ns")})
+    t = t.withColumns({"io_tail": before("io_tail", 16.0), "decode_tail": before("decode_tail", 16.0)})
+    return t.select(
+        "session", "seq", "in_use",
+        pick(F.col("_wave_ns"), waves[0]).alias("wave_first_ns"), pick(F.col("_extra_ns") / n, step).alias("wave_step_ns"),
+        pick(F.lit(65536.0) / F.greatest(F.col("_page_ns"), F.lit(1.0)), model.bytes_per_ns).alias("bytes_per_ns"),
+        pick(F.col("_fixed_ns"), model.decode_fixed_ns).alias("decode_fixed_ns"), pick(F.col("_units_ns") / 16.0, model.decode_unit_ns).alias("decode_unit_ns"),
+        "io_tail", "decode_tail",
+    )
+
+
+def priced(plans: DataFrame, keys: list[str], by_window: DataFrame, model: CostModel, tail: bool = False) -> DataFrame:
+    """Plans (ranges, bytes, units) at the costs of their window's own model; ``tail``: at its bad end, for promises on latency."""
+    io_x, decode_x = (F.col("io_tail"), F.col("decode_tail")) if tail else (F.lit(1.0), F.lit(1.0))
+    full, rest = F.floor(F.col("ranges") / F.lit(model.concurrency)), F.col("ranges") % F.lit(model.concurrency)
+    of = lambda n: F.col("wave_first_ns") + (n - 1) * F.col("wave_step_ns")
+    io = (full * of(F.lit(model.concurrency)) + F.when(rest > 0, of(rest)).otherwise(F.lit(0.0)) + F.col("bytes") / F.col("bytes_per_ns")) * io_x
+    decode = F.when(F.col("units") > 0, F.col("decode_fixed_ns") + F.col("units") * F.col("decode_unit_ns")).otherwise(F.lit(0.0)) * decode_x
+    both = plans.drop("io_ns", "decode_ns", "total_ns").join(by_window, keys).withColumn("io_ns", io).withColumn("decode_ns", decode)
+    return both.withColumn("total_ns", model.total(F.col("io_ns"), F.col("decode_ns")))
+
+
+def merged(branches: DataFrame, keys: list[str], sums: list[str], maxima: list[str], earliest: list[str]) -> DataFrame:
+    """Counters of parallel branches as one row: counts add up, what runs side by side is its longest, first times are the earliest that happened (zero: none)."""
+    first = lambda c: F.coalesce(F.min(F.when(F.col(c) > 0, F.col(c))), F.lit(0))
+    return branches.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums), *(F.max(c).alias(c) for c in maxima), *(first(c).alias(c) for c in earliest))
 
 
 def tail_multiplier(ratios: DataFrame, keys: list[str], width: int = 128) -> DataFrame:
@@ -138,15 +187,17 @@ def tail_multiplier(ratios: DataFrame, keys: list[str], width: int = 128) -> Dat
 
 
 def service_ewma(times: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole-number moving average (7 old + new) / 8, the first value as seed: a fold per key."""
-    zero = F.struct(F.lit(None).cast("long").alias("a"), F.array().cast("array<bigint>").alias("out"))
+    """Whole-number moving average (7 old + new) / 8, the first value as seed: a fold per key, linear in its length."""
 
-    def step(x: Column, e: Column) -> Column:
-        a = F.when(x["a"].isNull(), e["v"]).otherwise(F.floor((x["a"] * 7 + e["v"]) / 8).cast("long"))
-        return F.struct(a.alias("a"), F.concat(x["out"], F.array(a)).alias("out"))
-
-    g = times.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", F.col("value").alias("v")))).alias("items")).withColumn("out", F.aggregate("items", zero, step, lambda x: x["out"]))
-    return g.select(*keys, F.explode(F.arrays_zip("items", "out")).alias("x")).select(*keys, F.col("x.items.seq").alias("seq"), F.col("x.out").alias("ewma"))
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out, a = rows.sort_values("seq"), [], None
+        for v in rows["value"].tolist():
+            a = v if a is None else (a * 7 + v) // 8
+            out.append(a)
+        return rows[[*keys, "seq"]].assign(ewma=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in times.schema}
+    return times.select(*keys, "seq", "value").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in (*keys, "seq")) + ", ewma long")
 
 
 def capped_trace(events: DataFrame, keys: list[str], order: str, cap: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -98,3 +98,40 @@ def frame_count_check(catalog: DataFrame, most: int) -> DataFrame:
     n = catalog.groupBy("video_id").agg(F.count(F.lit(1)).alias("packets"), F.countDistinct("frame_idx").alias("frames"))
     reason = F.when(F.col("packets") == 0, "none").when(F.col("packets") != F.col("frames"), "mismatch").when(F.col("frames") > most, "too many").otherwise("ok")
     return n.withColumn("verdict", reason)
+
+
+#: Limits of build options: b frames and reference frames, and frames of a group around one anchor. Fixed values.
+MOST_B, MOST_REFERENCES, MOST_ANCHORED = 16, 16, 17
+
+
+def option_problem() -> Column:
+    """What is wrong with a row of build options, null if nothing.
+
+    Columns: gop_size, max_b_frames, adaptive, lookahead, reference_frames, policy. Settings of b frames are
+    only looked at for hierarchical_b; other policies must leave them at their defaults (7, 0, 0, 1).
+    """
+    c, b = F.col, F.col("policy") == "hierarchical_b"
+    default = (c("max_b_frames") == 7) & (c("adaptive") == 0) & (c("lookahead") == 0) & (c("reference_frames") == 1)
+    return (
+        F.when(c("gop_size") < 2, "group too small")
+        .when(b & (c("max_b_frames") > MOST_B), "too many b frames")
+        .when(b & (c("max_b_frames") >= c("gop_size")), "b frames fill the group")
+        .when(b & (c("adaptive") > 2), "unknown adaptive mode")
+        .when(b & (c("adaptive") > 0) & (c("lookahead") < c("max_b_frames") + 1), "lookahead too short")
+        .when(b & ((c("reference_frames") < 1) | (c("reference_frames") > MOST_REFERENCES)), "reference frames out of range")
+        .when(~b & ~default, "b settings without their policy")
+        .when((c("policy") == "shared_anchor") & (c("gop_size") > MOST_ANCHORED), "group exceeds the anchor limit")
+    )
+
+
+def stored(units: DataFrame, keys: list[str], policy: str) -> DataFrame:
+    """Units that a storage policy keeps, with their group: key units (type 5) open one, others (type 1) follow.
+
+    units: keys, position, unit_type. ``idr_only`` keeps key units alone; ``full_gop`` and ``anchor_p`` keep both;
+    units before the first key unit are group 0.
+    """
+    if policy not in ("idr_only", "full_gop", "anchor_p"):
+        raise ValueError(f"unknown storage policy {policy}")
+    o = W.partitionBy(*keys).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    kept = units.filter(F.col("unit_type").isin([5] if policy == "idr_only" else [1, 5]))
+    return kept.withColumn("group", F.sum(F.when(F.col("unit_type") == 5, 1).otherwise(0)).over(o))

@@ -30,3 +30,19 @@ def digest(job_rows: DataFrame) -> DataFrame:
 def run(job_rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A kernel of one's own over each group: a frame of jobs in, rows of ``schema`` out."""
     return job_rows.groupBy("video_id", "gop_id").applyInPandas(kernel, schema)
+
+
+#: Stages of decoding, in order. Fixed values.
+STAGES = ("decoder_setup", "packet_copy", "send", "receive", "flush", "rgb_convert", "rgb_copy")
+
+
+def profile(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Totals of every stage, of those without a call too. A call without a thread clock (null) counts as a call, not as a sample.
+
+    calls: keys, stage, wall_ns, thread_cpu_ns, bytes.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    every = calls.select(*keys).distinct().withColumn("stage", F.explode(F.array(*map(F.lit, STAGES))))
+    idle = every.select(*keys, "stage", *(F.lit(None).cast("long").alias(c) for c in ("wall_ns", "thread_cpu_ns", "bytes")))
+    both = calls.select(*keys, "stage", "wall_ns", "thread_cpu_ns", "bytes").unionByName(idle)
+    return both.groupBy(*keys, "stage").agg(total("wall_ns"), total("thread_cpu_ns"), F.count("wall_ns").alias("calls"), F.count("thread_cpu_ns").alias("cpu_samples"), total("bytes"))

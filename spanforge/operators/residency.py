@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,7 +71,13 @@ def victim(states: DataFrame, keys: list[str]) -> DataFrame:
     return states.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def read_ahead(suffix: DataFrame, keys: list[str], allowance: int) -> DataFrame:
+def allowance(hit: Column, whole: Column, held: Column, cache_bytes: int, most: int) -> Column:
+    """Bytes that may be read ahead in a group: what the cache has left, at most ``most``, if the group was hit or fits as a whole; else none."""
+    left = F.least(F.greatest(F.lit(cache_bytes) - held, F.lit(0)), F.lit(most))
+    return F.when(hit | (whole <= cache_bytes), left).otherwise(F.lit(0)).cast("long")
+
+
+def read_ahead(suffix: DataFrame, keys: list[str], allowance: int | Column) -> DataFrame:
     """Records in decode order until the first that doesn't fit the allowance (nothing after it).
 
     suffix: keys, ordinal, length. The sum so far grows with every record, so the first overflow is where it passes.

@@ -75,3 +75,9 @@ def route_pairs(requests: DataFrame, materialized: DataFrame) -> DataFrame:
     routed = requests.join(have, "record_id", "left").withColumn("branch", F.when(F.col("_have"), "pair").otherwise("fallback")).drop("_have")
     order = W.partitionBy("window_id", "branch").orderBy("batch_id", "pos")
     return routed.withColumn("branch_pos", (F.row_number().over(order) - 1).cast("long"))
+
+
+def one_of(records: DataFrame, keys: list[str], record: str, seed: int) -> DataFrame:
+    """One record of each key, the same for the same seed: the smallest hash of its id and the seed."""
+    place = F.struct(F.md5(F.concat_ws(":", F.col(record).cast("string"), F.lit(str(seed)))), F.col(record))
+    return records.groupBy(*keys).agg(F.min_by(record, place).alias(record))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import ensure_checkpoint_dir
+from ..functions.storage import cut, ensure_checkpoint_dir
 from ..sources import chunkfile
 from ..streaming import pipeline
-from .relations import Relations, query
+from .relations import Relations, query, sql
 
 
 def _folder(t: Relations, name: str) -> str:
@@ -18,29 +18,51 @@ def _folder(t: Relations, name: str) -> str:
     return f"{t.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def _headers(t: Relations):
-    """A chunk file of each stream's first group, as rows of bytes, and its parsed header."""
-    firsts = t.catalog_text.filter("gop_id = 0").select("video_id", "packet_index", "record_id", "payload")
+#: Streams are cut every so many bytes here; small, so that the test tables have streams of several chunks.
+PART = 1 << 16
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("packet_index", "record_id", "payload")), strict=True))
-        payload = b"".join(r[2].encode() for r in rows)
-        data = chunkfile.build(b"config", payload, pa.table({"record_id": [r[1] for r in rows]}))
-        head = chunkfile.parse(data)
-        return pa.table({"video_id": [table.column("video_id")[0].as_py()], "magic": [head["magic"]], "version": pa.array([head["version"]], pa.int32()), "config_bytes": pa.array([head["config_bytes"]], pa.int64()), "payload_bytes": pa.array([head["payload_bytes"]], pa.int64())})
 
-    return firsts.groupBy("video_id").applyInArrow(run, "video_id string, magic string, version int, config_bytes long, payload_bytes long")
+def _placed(t: Relations):
+    records = t.catalog_text.withColumn("payload", F.coalesce("payload", F.lit("")).cast("binary"))
+    return chunkfile.placed(records, PART)
 
 
-@query("scan_header", "select source as video_id, 'SPFC' as magic, cast(1 as int) as version, cast(6 as bigint) as config_bytes, cast(sum(strlen(text)) as bigint) as payload_bytes from (select source, text, row_number() over (partition by source order by doc_id) as n from documents) where n <= 16 group by 1")
+def _written(t: Relations) -> tuple[str, DataFrame]:
+    """All records as chunk files in the shared folder; the folder and one row a file."""
+    folder = _folder(t, "chunks")
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(t.spark._jsc.hadoopConfiguration()).mkdirs(path)
+    return folder, cut(chunkfile.write(_placed(t), folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder))
+
+
+_PART = f"""pt as (select *, cast(floor((record_offset - min(record_offset) over (partition by video_id)) / {PART}) as bigint) as part from catalog_text)"""
+
+
+@query("write_chunks", sql(f"with {_PART} select video_id, part, count(*) as records, cast(sum(record_length) as bigint) as bytes from pt group by 1, 2", "catalog"))
+def write_chunks(t):
+    return _written(t)[1].drop("object_key")
+
+
+@query("scan_header", sql(f"with {_PART} select 'SPFC' as magic, cast(1 as int) as version, 'text' as codec, cast(6 as bigint) as config_bytes, cast(sum(record_length) as bigint) as payload_bytes from pt group by video_id, part", "catalog"))
 def scan_header(t):
-    return _headers(t)
+    """The headers of chunk files that hold the whole catalog."""
+    return chunkfile.headers(t.spark, _written(t)[0] + "/*.chunk").select("magic", "version", "codec", "config_bytes", "payload_bytes")
 
 
-@query("validate_header", "select source as video_id, true as valid from documents group by 1")
+@query("validate_header", sql(f"with {_PART} select count(distinct (video_id, part)) as files, count(distinct (video_id, part)) as valid from pt", "catalog"))
 def validate_header(t):
-    h = _headers(t)
-    return h.select("video_id", ((F.col("magic") == chunkfile.MAGIC) & (F.col("version") == chunkfile.VERSION) & (F.col("payload_bytes") > 0)).alias("valid"))
+    h = chunkfile.headers(t.spark, _written(t)[0] + "/*.chunk")
+    good = (F.col("magic") == chunkfile.MAGIC) & (F.col("version") == chunkfile.VERSION) & (F.col("payload_bytes") > 0) & (F.col("index_bytes") > 0) & (F.col("width") > 0) & (F.col("height") > 0) & (F.col("fps_num") > 0) & (F.col("fps_den") > 0)
+    return h.agg(F.count(F.lit(1)).alias("files"), F.count_if(good).alias("valid"))
+
+
+@query("read_ranges", "select doc_id as sample_id, left(sha256(text), 16) as digest, cast(strlen(text) as bigint) as bytes from documents where strlen(text) > 0")
+def read_ranges(t):
+    """Every record's bytes read back from the chunk files by object, offset and length."""
+    folder = _written(t)[0]
+    wanted = _placed(t).filter("length > 0").select("object_key", "offset", "length", F.col("id").alias("sample_id"))
+    got = chunkfile.ranges(chunkfile.payloads(t.spark, folder + "/*.chunk"), wanted, "sample_id")
+    return got.select("sample_id", F.substring(F.sha2("data", 256), 1, 16).alias("digest"), F.octet_length("data").cast("long").alias("bytes"))
 
 
 @query("pipeline_stream", "select user_id, count(*) as events, round(sum(value), 6) as total from events group by 1")

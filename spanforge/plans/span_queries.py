@@ -147,11 +147,6 @@ def extract_records(t):
     return cut.select(F.col("id").alias("sample_id"), F.sha2("data", 256).alias("sha256"), F.octet_length("data").cast("long").alias("length"))
 
 
-@query("read_ranges", "select doc_id as sample_id, left(sha256(text), 16) as digest from documents")
-def read_ranges(t):
-    return t.catalog_text.select(F.col("id").alias("sample_id"), F.substring(F.sha2(F.col("payload").cast("binary"), 256), 1, 16).alias("digest"))
-
-
 @query("no_overdecode", sql(f"""with {_islands(16384)} select i.window_id, i.span, sum(i.length) :: bigint as needed_bytes, any_value(s.span_length) - sum(i.length) :: bigint as dropped_bytes
   from i_16384 i join s_16384 s on s.window_id = i.window_id and s.span = i.span group by 1, 2""", "needed"))
 def no_overdecode(t):
@@ -240,11 +235,12 @@ def _first_use(t: Relations):
 @query("range_priority_fanout", sql(f"""with {_islands(4096)}, {_FIRST_USE}, o as (select i.window_id, i.span, cast(sum(u.fanout) as bigint) as fanout, min(i."offset") as span_offset, max(i."offset" + i.length) - min(i."offset") as span_length
   from i_4096 i join use u on u.window_id = i.window_id and u.record_id = i.record_id group by 1, 2)
 select window_id, span, fanout, cast(row_number() over (partition by window_id order by fanout desc, span_offset) - 1 as int) as by_fanout, cast(row_number() over (partition by window_id order by span_length, span_offset) - 1 as int) as by_smallest,
-  cast(row_number() over (partition by window_id order by span_length desc, span_offset) - 1 as int) as by_largest from o""", "needed"))
+  cast(row_number() over (partition by window_id order by span_length desc, span_offset) - 1 as int) as by_largest,
+  cast((select count(*) from o p where p.window_id = o.window_id and (cast(p.fanout as hugeint) * o.span_length > cast(o.fanout as hugeint) * p.span_length or (cast(p.fanout as hugeint) * o.span_length = cast(o.fanout as hugeint) * p.span_length and p.span_offset < o.span_offset))) as int) as by_fanout_per_byte from o""", "needed"))
 def range_priority_fanout(t):
     o = spans.numbered(t.needed, WIN, 4096).join(_first_use(t), ["window_id", "record_id"]).groupBy("window_id", "span").agg(F.sum("fanout").alias("fanout"), F.min("offset").alias("span_offset"), (F.max(spans.end()) - F.min("offset")).alias("span_length"))
     place = lambda *order: F.row_number().over(W.partitionBy("window_id").orderBy(*order, "span_offset")) - 1
-    return o.select("window_id", "span", "fanout", place(F.desc("fanout")).alias("by_fanout"), place("span_length").alias("by_smallest"), place(F.desc("span_length")).alias("by_largest"))
+    return o.select("window_id", "span", "fanout", place(F.desc("fanout")).alias("by_fanout"), place("span_length").alias("by_smallest"), place(F.desc("span_length")).alias("by_largest"), place(F.desc(spans.density(F.col("fanout"), F.col("span_length")))).alias("by_fanout_per_byte"))
 
 
 # -- broker ---------------------------------------------------------------------
@@ -413,7 +409,7 @@ query("action_calibrated_closure", sql(f"with {_CHOSEN.replace('kind <> ' + repr
 )
 
 
-@query("fixed16_override", sql(f"""with {_CHOSEN} select c.window_id, case when c.window_id % 2 = 0 and c.kind = 'sparse' then 'fixed' else c.kind end as kind,
+@query("fixed16_override", sql(f"""with {_CHOSEN.replace('plans as (', 'plans as materialized (')} select c.window_id, case when c.window_id % 2 = 0 and c.kind = 'sparse' then 'fixed' else c.kind end as kind,
   case when c.window_id % 2 = 0 and c.kind = 'sparse' then f.ranges else c.ranges end as ranges, case when c.window_id % 2 = 0 and c.kind = 'sparse' then f.bytes else c.bytes end as bytes
   from chosen c join plans f on f.window_id = c.window_id and f.kind = 'fixed'""", "marked"))
 def fixed16_override(t):

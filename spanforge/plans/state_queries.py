@@ -217,12 +217,6 @@ def feedback_features(t):
     return f.select("window_id", "f_waves", "f_extra", F.round("f_pages", 6).alias("f_pages"), F.round("f_units", 6).alias("f_units"))
 
 
-@query("feedback_trace")
-def feedback_trace(t):
-    f = feedback.features(_observed(t), 8).withColumn("session", F.lit(0).cast("long")).withColumn("seq", F.col("window_id")).withColumn("decode_ns", 20_000.0 + F.col("units") * 3_000.0)
-    return feedback.trace(f.select("session", "seq", "f_waves", "f_extra", "f_pages", "f_units", F.col("io_ns").cast("double").alias("io_ns"), "decode_ns"), [100_000.0, 20_000.0, 65_536.0], [20_000.0, 48_000.0])
-
-
 @query("tail_multiplier", sql("""with q as (select caller, sample_id as seq, least(greatest(0.2::double + (sample_id * 37 % 100) / 25.0::double, 0.25), 16.0) as r from requests),
  v as (select caller, seq, list_sort(list(r) over (partition by caller order by seq rows between 127 preceding and current row)) as l from q)
 select caller, seq, round(greatest(1.0, l[cast(ceil(len(l) * 0.95::double) as int)]), 6) as tail from v""", "catalog", "requests"))
@@ -362,12 +356,20 @@ def lru_trace(t):
     return residency.lru_trace(a, 65_536)
 
 
-@query("read_ahead", sql("select window_id, video_id, gop_id, ordinal, length from (select *, sum(length) over (partition by window_id, video_id, gop_id order by ordinal) as s from (select m.window_id, m.video_id, m.gop_id, c.packet_index as ordinal, c.record_length as length from (select window_id, video_id, gop_id, max(packet_index) as last from targets group by 1, 2, 3) m join catalog c on c.video_id = m.video_id and c.gop_id = m.gop_id and c.packet_index > m.last)) where s <= 8192", "targets"))
+@query("read_ahead", sql("""with mm as (select window_id, video_id, gop_id, max(packet_index) as last, count(distinct batch_id) > 1 as hit from targets group by 1, 2, 3),
+ gr as (select m.*, c.packet_index as ordinal, c.record_length as length, cast(sum(case when c.packet_index <= last then c.record_length else 0 end) over w as bigint) as held, cast(sum(c.record_length) over w as bigint) as whole
+   from mm m join catalog c on c.video_id = m.video_id and c.gop_id = m.gop_id window w as (partition by m.window_id, m.video_id, m.gop_id)),
+ a as (select *, case when hit or whole <= 16384 then least(greatest(16384 - held, 0), 8192) else 0 end as allowance from gr where ordinal > last)
+select window_id, video_id, gop_id, ordinal, length, allowance from (select *, sum(length) over (partition by window_id, video_id, gop_id order by ordinal) as s from a) where s <= allowance""", "targets"))
 def read_ahead(t):
+    """Only a group that is used again, or that fits the cache as a whole, is read ahead, as far as the cache has room."""
     key = ["window_id", "video_id", "gop_id"]
-    last = t.targets.groupBy(*key).agg(F.max("packet_index").alias("_l"))
-    rest = last.join(t.catalog.select("video_id", "gop_id", F.col("packet_index").alias("ordinal"), F.col("record_length").alias("length")), ["video_id", "gop_id"]).filter(F.col("ordinal") > F.col("_l"))
-    return residency.read_ahead(rest.select(*key, "ordinal", "length"), key, 8192)
+    last = t.targets.groupBy(*key).agg(F.max("packet_index").alias("_l"), (F.countDistinct("batch_id") > 1).alias("hit"))
+    g = last.join(t.catalog.select("video_id", "gop_id", F.col("packet_index").alias("ordinal"), F.col("record_length").alias("length")), ["video_id", "gop_id"])
+    w = W.partitionBy(*key)
+    g = g.withColumn("held", F.sum(F.when(F.col("ordinal") <= F.col("_l"), F.col("length")).otherwise(0)).over(w)).withColumn("whole", F.sum("length").over(w))
+    g = g.withColumn("allowance", residency.allowance(F.col("hit"), F.col("whole"), F.col("held"), 16_384, 8_192)).filter(F.col("ordinal") > F.col("_l"))
+    return residency.read_ahead(g.select(*key, "ordinal", "length", "allowance"), key, F.col("allowance"))
 
 
 @query("cursor_can_serve", sql(f"with {_MONO} select *, prev is null or max_ordinal > prev as can_serve from (select window_id, video_id, gop_id, batch_id, max_ordinal, max(max_ordinal) over (partition by window_id, video_id, gop_id order by batch_id rows between unbounded preceding and 1 preceding) as prev from mn)", "targets"))
@@ -422,9 +424,18 @@ def joint_window(t):
     return _cohorts(t).groupBy("window_id", "cohort").agg(F.count(F.lit(1)).alias("calls"), F.min("arrival").alias("opened"), F.max("arrival").alias("closed"))
 
 
-@query("lane_routing")
+_FNV = """
+vb as (select distinct video_id, encode(video_id) as b from requests),
+fh as (select video_id, b, 1 as i, 14695981039346656037::hugeint as h from vb
+ union all select video_id, b, i + 1, (xor(h, ascii(chr(('0x' || substr(hex(b), 2 * i - 1, 2))::int))::hugeint) * 1099511628211::hugeint) % 18446744073709551616::hugeint from fh where i <= octet_length(b)),
+fl as (select video_id, cast(h % 4 as int) as lane from fh where i = octet_length(b) + 1)"""
+
+
+@query("lane_routing", sql(f"""with {_COHORT}, {_FNV}, c as (select ch.window_id, cohort, min(video_id) as v, min(video_id) = max(video_id) as single, count(*) as calls from ch join requests r on r.window_id = ch.window_id and r.sample_id = ch.sample_id group by 1, 2),
+ x as (select *, sum(case when single then 0 else 1 end) over (partition by window_id order by cohort rows unbounded preceding) - 1 as turn from c)
+select x.window_id, x.cohort, calls, single, case when single then fl.lane else cast(turn % 4 as int) end as lane from x left join fl on fl.video_id = x.v""", "catalog", "requests", recursive=True))
 def lane_routing(t):
-    return delivery.lanes(t.requests.select("sample_id", "video_id"), "video_id", 4)
+    return delivery.lanes(_cohorts(t).join(t.requests.select("window_id", "sample_id", "video_id"), ["window_id", "sample_id"]), WIN, 4)
 
 
 @query("restore_order", sql("select window_id, batch_id, pos, sample_id, record_id from targets", "targets"))
@@ -549,11 +560,13 @@ def json_int(t):
     return t.table("events").select("event_id", scalars.json_int(F.col("props"), "$.k").alias("k"))
 
 
-@query("hex_parse", "select doc_id, left(text, 8) as head from documents where doc_id % 7 = 0 and strlen(left(text, 8)) = length(left(text, 8))")
+@query("hex_parse", "select doc_id, sha256(text) as digest, cast(strlen(text) as bigint) as bytes from documents")
 def hex_parse(t):
-    d = t.table("documents").filter(F.col("doc_id") % 7 == 0).withColumn("head", F.substring("text", 1, 8)).filter(F.octet_length("head") == F.length("head"))
-    dump = F.concat(F.lit("00000000: "), F.regexp_replace(F.lower(F.hex("head")), "(....)(?=.)", "$1 "), F.lit("  text"))
-    return d.select("doc_id", F.decode(scalars.parse_hex(dump), "UTF-8").alias("head"))
+    """Every text written as a dump of 16 bytes a line and read back."""
+    d = t.table("documents").select("doc_id", F.hex(F.col("text").cast("binary")).alias("h"))
+    line = F.regexp_replace(F.regexp_replace(F.lower("h"), "(.{1,32})", "00000000: $1  text\n"), "([0-9a-f]{4})(?=[0-9a-f]{2})", "$1 ")
+    back = d.select("doc_id", scalars.parse_hex(F.regexp_replace(line, "0000 0000: ", "00000000: ")).alias("data"))
+    return back.select("doc_id", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("long").alias("bytes"))
 
 
 @query("ratio_ppm", sql("select window_id, case when sum(length) > 0 then cast(round(sum(length) filter (record_id % 2 = 0) / sum(length) :: double * 1e6) as bigint) else 0 end as ppm from needed group by 1", "needed"))
@@ -567,10 +580,3 @@ def closure_codec(t):
     ids = F.transform(F.array_sort(F.collect_list(F.struct("packet_index", "dep_id"))), lambda x: x["dep_id"])
     packed = t.closure.groupBy("target_id").agg(ids.alias("ids")).select("target_id", scalars.encode_closure(F.col("ids")).alias("data"))
     return packed.select("target_id", scalars.decode_closure(F.col("data")).alias("ids"))
-
-
-@query("to_annex_b")
-def to_annex_b(t):
-    d = t.table("documents").filter("text <> ''").select("doc_id", F.substring("text", 1, 50).cast("binary").alias("unit"))
-    framed = F.concat(F.unhex(F.lpad(F.hex(F.octet_length("unit")), 8, "0")), F.col("unit"))
-    return d.select("doc_id", F.hex(scalars.to_annex_b(framed, 4)).alias("stream"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import ordered, scalars
-from spanforge.model import CostModel
+from spanforge.model import DEFAULT, CostModel
 from spanforge.operators import closures, controls, costing, delivery, feedback, residency, resolve, sampling, scans, spans
 from spanforge.sources import chunkfile
 
@@ -352,3 +352,80 @@ def test_session(spark):
         Limits(windows=0)
     with pytest.raises(ValueError):
         plan_byte_ranges(spark.createDataFrame([(1, 0, 0)], "record_id long, offset long, length long"), 0)
+
+
+def test_models_and_tails(spark):
+    rows = [(0, i, 1.0, 0.5, 2.0, 4.0, 900_000.0, 120_000.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "session long, seq long, f_waves double, f_extra double, f_pages double, f_units double, io_ns double, decode_ns double")
+    m = feedback.models(feedback.trace(df, [500_000.0, 1.0, 65_536.0], [20_000.0, 20_000.0]), DEFAULT).orderBy("seq").collect()
+    assert not m[0]["in_use"] and m[0]["wave_first_ns"] == DEFAULT.latency_ns and m[0]["io_tail"] == 16.0
+    first = next(r["seq"] for r in m if r["in_use"])
+    assert first >= 16 and m[first]["io_tail"] == 16.0  # tails start anew when the estimator comes into use
+    assert m[39]["in_use"] and 1.0 <= m[39]["io_tail"] < 16.0
+    plan = spark.createDataFrame([(39, 1, 131072, 64)], "seq long, ranges long, bytes long, units long")
+    by_window = feedback.models(feedback.trace(df, [500_000.0, 1.0, 65_536.0], [20_000.0, 20_000.0]), DEFAULT)
+    usual, bad = (feedback.priced(plan, ["seq"], by_window, DEFAULT, x).first() for x in (False, True))
+    assert bad["io_ns"] == pytest.approx(usual["io_ns"] * m[39]["io_tail"])
+
+
+def test_broker_windows_wait_while_saturated(spark):
+    a = spark.createDataFrame([(0, i, at, s, 0) for i, (at, s) in enumerate([(0, False), (9, True), (35, False), (50, False), (59, False), (60, False)])], "w int, sample_id int, arrival long, saturated boolean, service long")
+    got = delivery.broker_windows(a, ["w"], 3, 10, 40).orderBy("sample_id").collect()
+    # the second request finds the store saturated, so the third still joins and fills the window
+    assert [r["broker_window"] for r in got] == [0, 0, 0, 1, 1, 2]
+    assert {r["broker_window"] for r in delivery.broker_windows(a, ["w"], 1, 10, 40).collect()} == set(range(6))
+
+
+def test_lanes_by_cohort(spark):
+    a = spark.createDataFrame([(0, 0, "a"), (0, 0, "a"), (0, 1, "a"), (0, 1, "b"), (0, 2, "b"), (0, 3, "a"), (0, 3, "c")], "w int, cohort int, video_id string")
+    got = {r["cohort"]: r["lane"] for r in delivery.lanes(a, ["w"], 4).collect()}
+    assert got == {0: delivery.fnv1a("a") % 4, 1: 0, 2: delivery.fnv1a("b") % 4, 3: 1}
+
+
+def test_barriers(spark):
+    calls = spark.createDataFrame([(0, 1, 9), (0, 2, 4), (0, 5, 30)], "w int, submitted long, ended long")
+    marks = spark.createDataFrame([(0, 1, 0), (0, 2, 5), (0, 3, 40)], "w int, barrier long, at long")
+    assert [r["passed"] for r in delivery.barriers(calls, ["w"], marks).orderBy("barrier").collect()] == [0, 9, 40]
+
+
+def test_parameter_sets():
+    record = bytes([1, 66, 0, 30, 0xFD, 0xE1, 0, 2]) + b"sp" + bytes([1, 0, 3]) + b"pps"
+    assert scalars.parameter_units(record) == (2, b"\0\0\0\1sp\0\0\0\1pps")
+    for bad in (b"", b"\2" + record[1:], record[:9], record[:10], record[:-1], bytes([1, 0, 0, 0, 3, 0xE0, 0])):
+        with pytest.raises(ValueError):
+            scalars.parameter_units(bad)
+
+
+def test_chunks_round_trip(spark, tmp_path):
+    rows = [("v", i, i, 0, i, "P", 100 + 10 * i, 10, bytes([65 + i]) * 10) for i in range(7)]
+    df = spark.createDataFrame(rows, "video_id string, record_id long, frame_idx int, gop_id long, packet_index int, frame_type string, record_offset long, record_length long, payload binary")
+    placed = chunkfile.placed(df, 25)
+    folder = tmp_path.as_uri()
+    done = chunkfile.write(placed, folder).collect()
+    assert sorted(r["records"] for r in done) == [1, 3, 3] or sum(r["records"] for r in done) == 7
+    assert sorted(f.name for f in tmp_path.iterdir()) == sorted(r["object_key"] + ".chunk" for r in done)
+    got = chunkfile.ranges(chunkfile.payloads(spark, folder + "/*.chunk"), placed.select("object_key", "offset", "length", "record_id"), "record_id")
+    assert {r["record_id"]: bytes(r["data"]) for r in got.collect()} == {r[1]: r[8] for r in rows}
+    (tmp_path / "bad.chunk").write_bytes(b"\0\0\0\2{}")
+    with pytest.raises(Exception):  # noqa: B017
+        chunkfile.payloads(spark, folder + "/*.chunk").collect()
+
+
+def test_density_sorts_exactly(spark):
+    pairs = [(1, 3), (2, 6), (10**9, 3 * 10**9 - 1), (10**9, 3 * 10**9), (10**9 - 1, 3 * 10**9), (7, 2), (0, 5)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a long, b long").select(spans.density(F.col("a"), F.col("b"))).collect()]
+    from fractions import Fraction
+
+    want = [Fraction(a, b) for a, b in pairs]
+    assert [[x < y for y in got] for x in got] == [[x < y for y in want] for x in want]
+
+
+def test_option_rules(spark):
+    from spanforge.operators import ingest
+
+    good = (8, 7, 0, 0, 1, "hierarchical_b")
+    cases = [good, (1, *good[1:]), (20, 17, *good[2:]), (7, *good[1:]), (8, 7, 3, 9, 1, good[5]), (8, 7, 1, 7, 1, good[5]), (8, 7, 0, 0, 0, good[5]), (8, 6, 0, 0, 1, "chained_p"), (18, 7, 0, 0, 1, "shared_anchor"), (17, 7, 0, 0, 1, "shared_anchor")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, gop_size int, max_b_frames int, adaptive int, lookahead int, reference_frames int, policy string")
+    assert [r["i"] for r in df.withColumn("p", ingest.option_problem()).orderBy("i").collect() if r["p"] is None] == [0, 9]
+    with pytest.raises(ValueError):
+        ingest.stored(df, ["i"], "all")
