@@ -77,6 +77,6 @@ def violations(catalog: DataFrame, payload_bytes: int | None = None) -> DataFram
     single = catalog.select("record_id", F.explode(F.array_compact(F.array(*(F.when(r, F.lit(n)) for n, r in rules.items())))).alias("reason"))
     twice = catalog.groupBy("record_id").count().filter("count > 1").select("record_id", F.lit("duplicate id").alias("reason"))
     frames = catalog.groupBy("video_id", "frame_idx").agg(F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("record_id", F.lit("duplicate frame").alias("reason"))
-    before = F.lag("packet_index").over(W.partitionBy("video_id").orderBy("record_offset"))
+    before = F.lag("packet_index").over(W.partitionBy("video_id").orderBy("record_offset", "record_id"))
     order = catalog.withColumn("_b", before).filter(c("_b") >= c("packet_index")).select("record_id", F.lit("decode order").alias("reason"))
     return single.unionByName(twice).unionByName(frames).unionByName(order)

@@ -31,13 +31,26 @@ def record_count(t):
     return t.catalog.agg(F.count(F.lit(1)).alias("records"))
 
 
-@query("catalog_violations", sql("""
-select record_id, reason from (
-  select record_id, unnest(list_filter([case when video_id = '' then 'empty video' end, case when frame_idx < 0 or gop_id < 0 or record_offset < 0 then 'negative' end,
-    case when record_length <= 0 then 'empty record' end], lambda x: x is not null)) as reason from catalog
-  union all select min(record_id), 'duplicate frame' from catalog group by video_id, frame_idx having count(*) > 1)""", "catalog"))
+@query("catalog_violations", sql("""with br as (
+  select record_id, case when record_id % 40 = 5 then '' else video_id end as video_id, case record_id % 40 when 2 then -1 - cast(record_id as int) when 7 then 1000003 else frame_idx end as frame_idx, gop_id,
+    case when record_id % 40 = 3 then 0 else packet_index end as packet_index, case when record_id % 40 = 11 then null else record_offset end as record_offset, case when record_id % 40 = 1 then 0 else record_length end as record_length from catalog
+  union all select record_id, video_id, frame_idx, gop_id, packet_index, record_offset, record_length from catalog where record_id % 40 = 9)
+select record_id, unnest(list_filter([case when record_offset is null then 'null' end, case when video_id = '' then 'empty video' end, case when frame_idx < 0 or gop_id < 0 or record_offset < 0 then 'negative' end,
+    case when record_length <= 0 then 'empty record' end, case when record_offset + record_length > (select max(record_offset) from catalog) then 'outside payload' end], lambda x: x is not null)) as reason from br
+union all select record_id, 'duplicate id' from br group by 1 having count(*) > 1
+union all select min(record_id), 'duplicate frame' from br group by video_id, frame_idx having count(*) > 1
+union all select record_id, 'decode order' from (select *, lag(packet_index) over (partition by video_id order by record_offset nulls first, record_id) as b from br) where b >= packet_index""", "catalog"))
 def catalog_violations(t):
-    return scans.violations(t.catalog)
+    """The catalog with faults of every sort put in."""
+    at, c = F.col("record_id") % 40, t.catalog
+    last = c.agg(F.max("record_offset")).first()[0] or 0  # one number
+    broken = c.select(
+        "record_id", F.when(at == 5, "").otherwise(F.col("video_id")).alias("video_id"),
+        F.when(at == 2, -1 - F.col("record_id")).when(at == 7, 1_000_003).otherwise(F.col("frame_idx")).cast("int").alias("frame_idx"), "gop_id",
+        F.when(at == 3, 0).otherwise(F.col("packet_index")).alias("packet_index"), F.when(at == 11, None).otherwise(F.col("record_offset")).alias("record_offset"),
+        F.when(at == 1, 0).otherwise(F.col("record_length")).alias("record_length"),
+    )
+    return scans.violations(broken.unionByName(c.filter(at == 9).select(*broken.columns)), last)
 
 
 _TIERS = """

@@ -23,10 +23,13 @@ def representation_violations(t):
     return controls.representation_violations(e.select("sample_id", F.lit("normalized").alias("representation"), F.when(odd, "anchor").otherwise("delta").alias("kind"), "position"))
 
 
-@query("normalized_spans", sql("""select video_id, packet_index as ordinal, min(record_offset) over w as span_offset, cast(sum(record_length) over w as bigint) as span_length, true as contiguous
-from turns window w as (partition by video_id order by packet_index rows unbounded preceding)""", "turns"))
+@query("normalized_spans", sql("""with l as (select video_id, packet_index as ordinal, record_offset as o, record_length as n from turns where record_id % 7 <> 3),
+ m as (select *, case when lag(ordinal) over w is not null and (lag(o + n) over w <> o or ordinal <> lag(ordinal) over w + 1) then 1 else 0 end as broken from l window w as (partition by video_id order by ordinal))
+select video_id, ordinal, min(o) over w as span_offset, cast(sum(n) over w as bigint) as span_length, max(broken) over w = 0 as contiguous from m window w as (partition by video_id order by ordinal rows unbounded preceding)""", "turns"))
 def normalized_spans(t):
-    return controls.normalized_spans(t.turns.select("video_id", F.col("packet_index").alias("ordinal"), F.col("record_offset").alias("offset"), F.col("record_length").alias("length")), ["video_id"])
+    """Groups of which a seventh of the members is missing, so that some aren't contiguous."""
+    kept = t.turns.filter("record_id % 7 <> 3")
+    return controls.normalized_spans(kept.select("video_id", F.col("packet_index").alias("ordinal"), F.col("record_offset").alias("offset"), F.col("record_length").alias("length")), ["video_id"])
 
 
 @query("anchor_metrics", sql("""select window_id, count(distinct (video_id, gop_id)) as unique_anchors, count(*) - count(distinct (video_id, gop_id)) as anchor_reuse_hits from targets group by 1""", "targets"))
@@ -349,7 +352,13 @@ def liveness_victim(t):
     return residency.victim(_resident(t).withColumn("age_rank", age).withColumn("pinned", F.col("visible_consumers") > 0), ["window_id", "batch_id"]).select("window_id", "batch_id", "video_id", "gop_id")
 
 
-@query("lru_trace")
+@query("lru_trace", sql("""with ac as (select t.window_id as lane, row_number() over (partition by t.window_id order by batch_id, pos) as seq, t.record_id, c.record_length as length from targets t join catalog c on c.record_id = t.record_id),
+ lr as (select distinct lane, 0::bigint as seq, null::bigint as record_id, false as hit, 0 as evicted, []::struct(r bigint, l bigint)[] as held from ac
+  union all select lane, seq, record_id, hit, case when hit or not fits then 0 else cast(len(held) - len(room) as int) end,
+    case when hit then list_append(list_filter(held, lambda x: x.r <> record_id), {'r': record_id, 'l': length}) when fits then list_append(room, {'r': record_id, 'l': length}) else held end
+  from (select *, list_filter(held, lambda x, i: length + list_sum(list_transform(held[i:], lambda y: y.l)) <= 65536) as room from (
+    select a.lane, a.seq, a.record_id, a.length, lr.held, len(list_filter(lr.held, lambda x: x.r = a.record_id)) > 0 as hit, a.length > 0 and a.length <= 65536 as fits from lr join ac a on a.lane = lr.lane and a.seq = lr.seq + 1)))
+select lane, seq, record_id, hit, evicted, cast(coalesce(list_sum(list_transform(held, lambda x: x.l)), 0) as bigint) as resident_bytes from lr where seq > 0""", "targets", recursive=True))
 def lru_trace(t):
     seq = F.row_number().over(W.partitionBy("window_id").orderBy("batch_id", "pos"))
     a = t.targets.select(F.col("window_id").alias("lane"), seq.cast("long").alias("seq"), "record_id").join(t.catalog.select("record_id", F.col("record_length").alias("length")), "record_id")
