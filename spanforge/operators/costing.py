@@ -78,6 +78,29 @@ def frontier_choice(frontier: DataFrame, fixed: DataFrame, units: DataFrame, key
     return p.filter(fits).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "_min")
 
 
+def horizons(needed: DataFrame, first: DataFrame, regions: DataFrame | None, key: str, throughput: CostModel, latency: CostModel) -> DataFrame:
+    """The plan chosen for each horizon of each window, and when the first batch could be handed out under it.
+
+    needed: ``key`` (one a window and horizon) and distinct records with extents; first: key, record_id of what
+    the first batch needs. Plans are priced with ``throughput``; the first batch waits for those of the chosen
+    ranges that hold a record it needs, priced with ``latency``. Adds first_batch_ns.
+    """
+    keys = [key]
+    best = choose(candidates(needed, needed, regions, keys, throughput), keys, throughput).select(key, "kind", "threshold", "ranges", "bytes", "units", "total_ns")
+    m = needed.join(best, key).join(first.withColumn("_f", F.lit(1)), [key, "record_id"], "left")
+    m = m.join(regions.select("video_id", "gop_id", "region_length"), ["video_id", "gop_id"], "left") if regions is not None else m.withColumn("region_length", F.lit(None).cast("long"))
+    region = F.col("kind") == "region"
+    n = spans.numbered(m, keys, F.coalesce("threshold", F.lit(-(1 << 62))))  # a null threshold never merges
+    of = [F.when(region, F.col("video_id")).alias("_v"), F.when(region, F.col("gop_id")).alias("_g"), F.when(~region, F.col("span")).alias("_s")]
+    # the chosen plan's own columns come along, so that it is worked out once
+    kept = ["kind", "threshold", "ranges", "bytes", "units", "total_ns"]
+    size = F.when(F.first("kind") == "region", F.first("region_length")).otherwise(F.max(spans.end()) - F.min("offset"))
+    r = n.groupBy(key, *of).agg(size.alias("_len"), F.max("_f").alias("_f"), *(F.first(c).alias(c) for c in kept))
+    out = r.groupBy(key).agg(F.count("_f").alias("first_ranges"), F.sum(F.when(F.col("_f") == 1, F.col("_len"))).alias("first_bytes"), *(F.first(c).alias(c) for c in kept))
+    out = out.join(first.groupBy(key).agg(F.count(F.lit(1)).alias("first_units")), key)
+    return out.withColumn("first_batch_ns", latency.total(latency.io(F.col("first_ranges"), F.col("first_bytes")), latency.decode(F.col("first_units"))))
+
+
 def lookahead(plans: DataFrame, keys: list[str], slo_ns: float) -> DataFrame:
     """The horizon of each window: of those within the objective the best throughput, else the quickest first batch; ties: the shorter.
 

@@ -97,6 +97,18 @@ class Relations:
         """
         return closures.union(self.targets, self.closure, self.catalog, ["window_id"]).repartition("window_id").persist()
 
+    @cached_property
+    def planned(self) -> DataFrame:
+        """Requests of each window's first 1, 2, 4 and 8 batches; ``plan`` is 16 * window_id + horizon."""
+        step = self.targets.withColumn("_at", F.col("batch_id") % BATCHES)
+        wide = step.select("*", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("horizon")).filter(F.col("_at") < F.col("horizon"))
+        return wide.withColumn("plan", F.col("window_id") * 16 + F.col("horizon")).drop("_at")
+
+    @cached_property
+    def needed_by_plan(self) -> DataFrame:
+        """As ``needed``, for each window and horizon."""
+        return closures.union(self.planned, self.closure, self.catalog, ["plan"]).repartition("plan").persist()
+
 
 #: The same relations in DuckDB.
 _SQL = {

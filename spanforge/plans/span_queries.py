@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import DEFAULT, WAVED
+from ..model import DEFAULT, WAVED, CostModel
 from ..operators import closures, costing, spans
 from .relations import Relations, query, sql
 
@@ -420,36 +420,36 @@ def fixed16_override(t):
     return costing.choose(all_, WIN, DEFAULT).join(f, "window_id").select("window_id", F.when(use, "fixed").otherwise(F.col("kind")).alias("kind"), F.when(use, F.col("_r")).otherwise(F.col("ranges")).alias("ranges"), F.when(use, F.col("_b")).otherwise(F.col("bytes")).alias("bytes"))
 
 
+#: What first batches are held to: slower than what throughput is ranked by.
+PROMISED = CostModel(latency_ns=200_000.0, bytes_per_ns=0.5, decode_fixed_ns=40_000.0, decode_unit_ns=6_000.0)
+_SLO = 5_000_000.0
+
+# windows and horizons as one key, so that the choice among plans is the same SQL as for windows
 _LOOK = f"""
 hz as (select * from (values (1), (2), (4), (8)) h(horizon)),
-hn as (select distinct hz.horizon, t.window_id, cl.dep_id as record_id from hz join targets t on t.batch_id % 8 < hz.horizon join closure cl on cl.target_id = t.record_id),
-he as (select hn.*, c.record_offset as "offset", c.record_length as length from hn join catalog c on c.record_id = hn.record_id),
-hm as (select *, max("offset" + length) over (partition by window_id, horizon order by "offset", record_id rows between unbounded preceding and 1 preceding) as r from he),
-hi as (select *, sum(case when r is null or "offset" > r + 16384 then 1 else 0 end) over (partition by window_id, horizon order by "offset", record_id rows unbounded preceding) as span from hm),
-hs as (select window_id, horizon, span, max("offset" + length) - min("offset") as len, count(*) as n from hi group by 1, 2, 3),
-hp as (select window_id, horizon, count(*) as ranges, sum(len) as bytes, sum(n) as units from hs group by 1, 2),
-hc as (select hp.*, {_tot(DEFAULT, _io(DEFAULT), _dec(DEFAULT))} as total_ns, (select count(*) from targets t where t.window_id = hp.window_id and t.batch_id % 8 < hp.horizon) as samples from hp),
-hf as (select hc.*, b.ranges as first_ranges, b.bytes as first_bytes, b.units as first_units from hc join (
-   select h.window_id, h.horizon, count(*) as ranges, sum(h.len) as bytes, any_value(o.units) as units from hs h join (select window_id, units from hp where horizon = 1) o on o.window_id = h.window_id
-   where exists (select 1 from hi x where x.window_id = h.window_id and x.horizon = h.horizon and x.span = h.span and exists (select 1 from hn f where f.window_id = x.window_id and f.horizon = 1 and f.record_id = x.record_id)) group by 1, 2) b
-   on b.window_id = hc.window_id and b.horizon = hc.horizon),
-hl as (select *, {_tot(DEFAULT, _io(DEFAULT, 'first_ranges', 'first_bytes'), _dec(DEFAULT, 'first_units'))} as first_batch_ns from hf),
-hr as (select *, samples * 1e9 / total_ns as rate, first_batch_ns <= 2500000.0 as feasible from hl)"""
-
-
-@query("choose_lookahead", sql(f"with {_LOOK} select window_id, horizon, samples, round(total_ns, 6) as total_ns, round(first_batch_ns, 6) as first_batch_ns, feasible from hr qualify row_number() over (partition by window_id order by feasible desc, case when feasible then -rate else first_batch_ns end, horizon) = 1", "targets", "closure"))
+needed as (select x.window_id, c.record_id, c.record_offset as "offset", c.record_length as length, c.video_id, c.gop_id, c.packet_index
+  from (select distinct t.window_id * 16 + horizon as window_id, cl.dep_id from hz join targets t on t.batch_id % 8 < horizon join closure cl on cl.target_id = t.record_id) x join catalog c on c.record_id = x.dep_id),
+marked as (select *, max("offset" + length) over (partition by window_id order by "offset", record_id rows between unbounded preceding and 1 preceding) as reach from needed), {_CHOSEN},
+fi as (select window_id - 1 as base, record_id from needed where window_id % 16 = 1), fu as (select base, count(*) as first_units from fi group by 1),
+mk as (select m.*, c.kind, c.threshold, fi.record_id is not null as f from marked m join chosen c on c.window_id = m.window_id left join fi on fi.base = m.window_id - m.window_id % 16 and fi.record_id = m.record_id),
+sn as (select *, sum(case when reach is null or threshold is null or "offset" > reach + threshold then 1 else 0 end) over (partition by window_id order by "offset", record_id rows unbounded preceding) as span from mk where kind = 'sparse'),
+rs as (select window_id, max("offset" + length) - min("offset") as len, bool_or(f) as f from sn group by window_id, span
+  union all select k.window_id, any_value(reg.len), bool_or(f) from mk k join reg on reg.video_id = k.video_id and reg.gop_id = k.gop_id where kind = 'region' group by k.window_id, k.video_id, k.gop_id),
+wt as (select window_id, count(*) as first_ranges, sum(len) as first_bytes from rs where f group by 1),
+sa as (select t.window_id * 16 + horizon as window_id, count(*) as samples from hz join targets t on t.batch_id % 8 < horizon group by 1),
+hl as (select c.window_id, c.kind, c.total_ns, samples, {_tot(PROMISED, _io(PROMISED, 'first_ranges', 'first_bytes'), _dec(PROMISED, 'first_units'))} as first_batch_ns
+  from chosen c join wt on wt.window_id = c.window_id join fu on fu.base = c.window_id - c.window_id % 16 join sa on sa.window_id = c.window_id),
+hr as (select *, samples * 1e9 / total_ns as rate, first_batch_ns <= {_SLO} as feasible from hl)"""
+
+
+@query("choose_lookahead", sql(f"with {_LOOK} select window_id // 16 as window_id, cast(window_id % 16 as int) as horizon, kind, samples, round(total_ns, 6) as total_ns, round(first_batch_ns, 6) as first_batch_ns, feasible from hr qualify row_number() over (partition by window_id // 16 order by feasible desc, case when feasible then -rate else first_batch_ns end, window_id % 16) = 1", "targets", "closure"))
 def choose_lookahead(t):
-    """Horizons 1, 2, 4, 8; the first batch waits for the ranges that hold a record it needs."""
-    key = ["window_id", "horizon"]
-    step = t.targets.withColumn("_at", F.col("batch_id") % 8)
-    wide = step.select("*", F.explode(F.array(*map(F.lit, (1, 2, 4, 8)))).alias("horizon")).filter(F.col("_at") < F.col("horizon"))
-    needed = closures.union(wide, t.closure, t.catalog, key)
-    n = spans.numbered(needed, key, 16384)
-    first = needed.filter("horizon = 1").select("window_id", "record_id").withColumn("_first", F.lit(True))
-    per = n.join(first, ["window_id", "record_id"], "left").groupBy(*key, "span").agg((F.max(spans.end()) - F.min("offset")).alias("len"), F.count(F.lit(1)).alias("n"), F.max(F.coalesce("_first", F.lit(False))).alias("_f"))
-    shape = per.groupBy(*key).agg(F.count(F.lit(1)).alias("ranges"), F.sum("len").alias("bytes"), F.sum("n").alias("units"), F.count_if("_f").alias("_fr"), F.sum(F.when(F.col("_f"), F.col("len")).otherwise(0)).alias("_fb"))
-    own = needed.filter("horizon = 1").groupBy("window_id").agg(F.count(F.lit(1)).alias("_fu"))
-    samples = wide.groupBy(*key).agg(F.count(F.lit(1)).alias("samples"))
-    p = costing.priced(shape, DEFAULT).join(own, "window_id").join(samples, key)
-    p = p.withColumn("first_batch_ns", DEFAULT.total(DEFAULT.io(F.col("_fr"), F.col("_fb")), DEFAULT.decode(F.col("_fu"))))
-    return costing.lookahead(p, WIN, 2_500_000.0).select("window_id", "horizon", "samples", F.round("total_ns", 6).alias("total_ns"), F.round("first_batch_ns", 6).alias("first_batch_ns"), "feasible")
+    """Horizons 1, 2, 4, 8, each with the plan chosen for it; the first batch waits for the ranges that hold a record it needs."""
+    wide, needed = t.planned, t.needed_by_plan
+    every = F.explode(F.array(*(F.col("plan") - 1 + h for h in (1, 2, 4, 8))))
+    samples = wide.groupBy("plan").agg(F.count(F.lit(1)).alias("samples"))
+    # a window's first batch needs the same records whatever the horizon
+    first = needed.filter("plan % 16 = 1").select(every.alias("plan"), "record_id").join(samples.select("plan"), "plan", "left_semi")
+    p = costing.horizons(needed, first, closures.regions(t.catalog), "plan", DEFAULT, PROMISED).join(samples, "plan")
+    p = p.withColumn("window_id", F.floor(F.col("plan") / 16).cast("long")).withColumn("horizon", (F.col("plan") % 16).cast("int"))
+    return costing.lookahead(p, WIN, _SLO).select("window_id", "horizon", "kind", "samples", F.round("total_ns", 6).alias("total_ns"), F.round("first_batch_ns", 6).alias("first_batch_ns"), "feasible")
