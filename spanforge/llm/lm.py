@@ -1,12 +1,11 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
-Restaurants form a tree of three levels.  A leaf is a hashed word context: what a
-word predicts is gathered under its class (by its last two bytes, ``CLASSES`` with
-the start of a text) and ``SPLIT`` hash values within the class, 65,536 leaves in
-all.  The leaves of a class share the class's restaurant as parent, the classes
-share the root, whose base is uniform over the vocabulary and one unknown word.
-Customers are all training tokens, dishes all their words: what is gathered grows
-with the corpus, the number of contexts doesn't.
+Restaurants form a tree of three levels.  A leaf is the word before: every word of
+the vocabulary has one of its own, and so has the start of a text.  The leaves of
+words with the same last two bytes are a class and share the class's restaurant as
+parent, the classes (``CLASSES`` endings that bytes can form) share the root, whose
+base is uniform over the vocabulary and one unknown word.  Customers are all training
+tokens, dishes all their words, contexts all words: all grow with the corpus.
 
 Sampling.  A sweep takes the customers of each dish (restaurant and word) up and
 seats them anew by the Chinese restaurant process, given everybody else as the
@@ -22,12 +21,16 @@ scores don't depend on how the table is partitioned.
 Distribution.  Documents are tokenised once into chunks.  A chunk sends the
 distinct (word, leaf) pairs that it has, with counts, to the bucket of the word's
 hash.  A bucket streams its messages and adds them up, so it holds each of its
-dishes once, and the compressed requests until they are answered; a word has at
-most 65,536 leaves, however frequent.  All levels of a dish are in one bucket, so
-a sweep needs only the restaurants' totals, some 66,000 numbers at any size, summed
-in executors.  Sweeps before the present one are replayed from these totals instead
-of being stored.  Buckets answer with one probability a pair.  Words are compared
-by 64-bit hashes: about n^2 / 2^65 colliding pairs among n distinct words.
+dishes once, and of each request the places of its pairs; a word has at most as
+many leaves as there are words.  All levels of a dish are in one bucket, so a sweep
+needs only the restaurants' totals.  Those of classes and root, some 132,000 numbers
+at any size, are summed in executors and broadcast.  Those of leaves grow with the
+vocabulary: each leaf has an owner, buckets send owners what they hold of its leaves
+(names once, then numbers in the same order), and owners write the sums for each
+bucket into the shared folder, from where the bucket reads its own.  Sweeps before
+the present one are replayed from these totals instead of being stored.  Buckets
+answer with one probability a pair.  Words are compared by 64-bit hashes: about
+n^2 / 2^65 colliding pairs among n distinct words; leaves by class and 46 bits.
 
 Cases.  Null text: empty, its end token alone.  Nothing to learn from: every
 token has probability one by either formula.  A null id belongs to the training
@@ -44,17 +47,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, shared_folder, small_batches
 
 BURN, KEEP = 1, 2
-#: Classes of contexts, the last one for the start of a text, and leaves in each.
-CLASSES, SPLIT = 1024, 64
+#: Classes of contexts: the last two bytes, or the only one, and the start of a text.  A leaf is a class and 46 bits of hash.
+CLASSES, BITS = 256 * 257 + 1, 46
+SPLIT = 1 << BITS
 KINDS = CLASSES * SPLIT
 _START = KINDS - SPLIT
 #: Discount and strength of leaves, classes and root.
 LEAF, CLASS, ROOT = (0.8, 1.0), (0.8, 1.0), (0.7, 1.0)
 #: Bytes of text in a chunk, tokens for each bucket.
 CHUNK, BUCKET = 8_000_000, 600_000
+#: Buckets for each owner of leaves.
+OWNED = 16
 #: What stands for the end of a text: no word has white space.
 END = b"\n"
 _SLICE = 4096
@@ -69,10 +75,19 @@ def _squeeze(a: np.ndarray) -> bytes:
 
 def _expand(b: bytes) -> np.ndarray:
     n, size = int.from_bytes(b[1:9], "little"), b[0]
+    if not size:
+        return _expand_rising(b[9 : 9 + n])[_expand(b[9 + n :])]
     raw = pa.decompress(b[9:], decompressed_size=n, codec="zstd", asbytes=True) if n else b""
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(f"<u{size}").ravel()
 
 
+def _squeeze_names(a: np.ndarray) -> bytes:
+    """As ``_squeeze``, for large numbers that come again: each once, then which one it is."""
+    names, which = np.unique(np.asarray(a).astype(np.uint64), return_inverse=True)
+    head = _squeeze_rising(names)
+    return b"\0" + len(head).to_bytes(8, "little") + head + _squeeze(which)
+
+
 def _squeeze_rising(a: np.ndarray) -> bytes:
     """As ``_squeeze``, for rising uint64 values: their steps are smaller."""
     return _squeeze(np.diff(a, prepend=np.uint64(0)))
@@ -88,21 +103,26 @@ class _Ids(dict):
         return out
 
 
+def class_of(word: bytes) -> int:
+    """The class of a word: its last two bytes."""
+    return 257 * word[-1] + (word[-2] + 1 if len(word) > 1 else 0)
+
+
 def leaf(word: bytes, digest: int) -> int:
     """The leaf under which what follows ``word`` is gathered."""
-    return (31 * word[-1] + (word[-2] if len(word) > 1 else 0)) % (CLASSES - 1) * SPLIT + digest % SPLIT
+    return class_of(word) * SPLIT + digest % SPLIT
 
 
 def chunks(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
-    """Rows of whole documents: ids of tokens in the chunk's own vocabulary, hashes and leaves of its words."""
-    names = ["chunk", "doc_ids", "lens", "held", "ids", "hashes", "leaves", "n_tokens", "n_train"]
+    """Rows of whole documents: ids of tokens in the chunk's own vocabulary, hashes and classes of its words."""
+    names = ["chunk", "doc_ids", "lens", "held", "ids", "hashes", "classes", "n_tokens", "n_train"]
     kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int64(), pa.int64()]
 
     def row(number: int, doc_ids: list, parts: list[np.ndarray], flags: list[bool], vocabulary: _Ids) -> pa.RecordBatch:
         lens, words = np.array([len(p) for p in parts], np.int64), list(vocabulary)
         digests = list(map(xxhash.xxh64_intdigest, words))
-        leaves = np.fromiter(map(leaf, words, digests), np.uint16, len(words))
-        blobs = (_squeeze(lens), np.packbits(flags).tobytes(), _squeeze(np.concatenate(parts)), np.array(digests, np.uint64).tobytes(), _squeeze(leaves))
+        classes = np.fromiter(map(class_of, words), np.uint32, len(words))
+        blobs = (_squeeze(lens), np.packbits(flags).tobytes(), _squeeze(np.concatenate(parts)), np.array(digests, np.uint64).tobytes(), _squeeze(classes))
         values = (number, doc_ids, *blobs, int(lens.sum()), int(lens[~np.array(flags, bool)].sum()))
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
@@ -128,30 +148,29 @@ def chunks(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
         if parts:
             yield row(number, doc_ids, parts, flags, vocabulary)
 
-    schema = "chunk long, doc_ids array<long>, lens binary, held binary, ids binary, hashes binary, leaves binary, n_tokens long, n_train long"
+    schema = "chunk long, doc_ids array<long>, lens binary, held binary, ids binary, hashes binary, classes binary, n_tokens long, n_train long"
     return docs.select("doc_id", "text").mapInArrow(work, schema)
 
 
 class Pairs:
     """The distinct (word, leaf) pairs of a chunk, words in the order of their hashes."""
 
-    def __init__(self, lens: bytes, held: bytes, ids: bytes, hashes: bytes, leaves: bytes):
+    def __init__(self, lens: bytes, held: bytes, ids: bytes, hashes: bytes, classes: bytes):
         self.lens = _expand(lens).astype(np.int64)
         self.held = np.unpackbits(np.frombuffer(held, np.uint8), count=len(self.lens)).astype(bool)
         local, own = _expand(ids), np.frombuffer(hashes, np.uint64)
-        order = np.argsort(own, kind="stable")
-        self.hashes = own[order]
-        rank = np.empty(len(own), np.int64)
-        rank[order] = np.arange(len(own))
+        self.hashes, rank = np.unique(own, return_inverse=True)
+        leaves = (_expand(classes).astype(np.int64) << BITS) + (own & np.uint64(SPLIT - 1)).astype(np.int64)
+        kinds, which = np.unique(np.append(leaves, _START), return_inverse=True)
         key = rank[local]
-        key *= KINDS
+        key *= len(kinds)
         self.starts = np.cumsum(self.lens) - self.lens
-        before = np.empty(len(local), np.uint16)
-        before[1:] = _expand(leaves)[local[:-1]]
-        before[self.starts] = _START
+        before = np.empty(len(local), np.int32)
+        before[1:] = which[:-1].astype(np.int32)[local[:-1]]
+        before[self.starts] = which[-1]
         key += before
         keys, self.of_token = np.unique(key, return_inverse=True)
-        self.word, self.kind = (keys // KINDS).astype(np.int32), (keys % KINDS).astype(np.uint16)
+        self.word, self.kind = (keys // len(kinds)).astype(np.int32), kinds[keys % len(kinds)]
 
     def counts(self) -> np.ndarray:
         """Training tokens of each pair."""
@@ -226,14 +245,16 @@ def seat(customers: np.ndarray, open_: np.ndarray, more: np.ndarray, discount: f
 
 
 class Totals:
-    """What all dishes share: the vocabulary's size, customers by leaf, tables by leaf, class and root."""
+    """What dishes share: the vocabulary's size, tables of the root, tables and customers by class, then by leaf, for the leaves of a bucket."""
 
-    LENGTH = 2 + CLASSES + 2 * KINDS
+    #: The part that all buckets share.
+    HEAD = 2 + 2 * CLASSES
 
     def __init__(self, numbers: np.ndarray):
         self.words, self.root = int(numbers[0]), int(numbers[1])
-        self.classes, self.leaves, self.customers = np.split(numbers[2:], [CLASSES, CLASSES + KINDS])
-        self.at_classes, self.at_root = self.leaves.reshape(CLASSES, SPLIT).sum(1), int(self.classes.sum())
+        self.classes, self.at_classes = np.split(numbers[2 : self.HEAD], 2)
+        self.leaves, self.customers = np.split(numbers[self.HEAD :], 2)
+        self.at_root = int(self.classes.sum())
 
 
 class Seats:
@@ -242,6 +263,8 @@ class Seats:
     def __init__(self, hashes: np.ndarray, many: np.ndarray, kind: np.ndarray, count: np.ndarray):
         self.hashes, self.kind, self.count = hashes, kind.astype(np.int64), count.astype(np.int64)
         self.word = np.repeat(np.arange(len(hashes)), many)
+        #: leaves of the bucket, rising, and which of them each dish is of
+        self.leaves, self.place = np.unique(self.kind, return_inverse=True)
         cls = self.kind // SPLIT
         new = np.ones(len(cls), bool)
         new[1:] = (np.diff(cls) != 0) | (np.diff(self.word) != 0)
@@ -268,7 +291,13 @@ class Seats:
 
     def totals(self) -> np.ndarray:
         by = lambda at, n, size: np.bincount(at, n, size).astype(np.int64)
-        return np.concatenate([[np.count_nonzero(self.seen), self.w_tables.sum()], by(self.g_class, self.g_tables, CLASSES), by(self.kind, self.tables, KINDS), by(self.kind, self.count, KINDS)])
+        head = [[np.count_nonzero(self.seen), self.w_tables.sum()], by(self.g_class, self.g_tables, CLASSES), by(self.g_class, self.g_count, CLASSES)]
+        return np.concatenate([*head, by(self.place, self.tables, len(self.leaves)), by(self.place, self.count, len(self.leaves))])
+
+    def by_owner(self, owners: int) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the leaves by owner, and where each owner's begin and end."""
+        owner = (self.leaves & (SPLIT - 1)) % owners
+        return np.argsort(owner, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=owners))])
 
     @staticmethod
     def _share(count, tables, level, all_tables, customers, parent):
@@ -297,7 +326,7 @@ class Seats:
     def _seat_leaves(self, parent: np.ndarray, t: Totals, salt: np.uint64) -> None:
         some = np.flatnonzero(self.count > 1)  # one customer has one table
         p, own = parent[some], self.tables[some]
-        found = seat(self.count[some], (LEAF[1] + LEAF[0] * (t.leaves[self.kind[some]] - own)) * p, LEAF[0] * p, LEAF[0], self.keys[0][some] + salt)
+        found = seat(self.count[some], (LEAF[1] + LEAF[0] * (t.leaves[self.place[some]] - own)) * p, LEAF[0] * p, LEAF[0], self.keys[0][some] + salt)
         self.tables = np.minimum(self.count, 1)
         self.tables[some] = found
 
@@ -306,7 +335,7 @@ class Seats:
         base = (ROOT[1] + ROOT[0] * t.root) / (t.words + 1)
         root = self._share(self.w_count, self.w_tables, ROOT, 0, t.at_root, base / ROOT[1])
         cls = self._share(self.g_count, self.g_tables, CLASS, t.classes[self.g_class], t.at_classes[self.g_class], root[self.g_word])
-        return self._share(self.count, self.tables, LEAF, t.leaves[self.kind], t.customers[self.kind], cls[self.group])
+        return self._share(self.count, self.tables, LEAF, t.leaves[self.place], t.customers[self.place], cls[self.group])
 
     def averaged(self, states: list[Totals]) -> np.ndarray:
         """Mean probability over the kept sweeps; ``states``: totals before the first sweep and after each."""
@@ -322,11 +351,13 @@ class Sum:
     """Adds up messages (words, pairs of each, leaves, counts): every pair is held once, and a few that wait."""
 
     def __init__(self):
-        self.words, self.keys, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words, self.kinds = np.empty(0, np.uint64), np.empty(0, np.int64)
+        #: place of the word, times the number of kinds, and place of the kind
+        self.keys, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
         self.waiting, self.n_waiting = [], 0
 
     def add(self, words: np.ndarray, many: np.ndarray, kind: np.ndarray, count: np.ndarray) -> None:
-        self.waiting.append((words, many, kind, count))
+        self.waiting.append((words, many, kind.astype(np.int64), count))
         self.n_waiting += len(kind)
         if self.n_waiting > max(500_000, len(self.keys)):
             self.settle()
@@ -335,21 +366,29 @@ class Sum:
         if not self.waiting:
             return
         words, place = np.unique(np.concatenate([self.words, *(m[0] for m in self.waiting)]), return_inverse=True)
-        parts, at = [place[self.keys // KINDS] * KINDS + self.keys % KINDS], len(self.words)
+        kinds, which = np.unique(np.concatenate([self.kinds, *(m[2] for m in self.waiting)]), return_inverse=True)
+        at, of = len(self.words), len(self.kinds)
+        parts = [place[self.keys // max(of, 1)] * len(kinds) + which[self.keys % max(of, 1)]]
         for w, many, kind, _ in self.waiting:
-            parts.append(np.repeat(place[at : at + len(w)], many) * KINDS + kind)
-            at += len(w)
+            parts.append(np.repeat(place[at : at + len(w)], many) * len(kinds) + which[of : of + len(kind)])
+            at, of = at + len(w), of + len(kind)
         self.keys, where = np.unique(np.concatenate(parts), return_inverse=True)
         self.count = np.bincount(where, np.concatenate([self.count, *(m[3] for m in self.waiting)]), len(self.keys)).astype(np.int64)
-        self.words, self.waiting, self.n_waiting = words, [], 0
+        self.words, self.kinds, self.waiting, self.n_waiting = words, kinds, [], 0
+
+    def places(self, words: np.ndarray, many: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where the pairs of a message, all added and settled, are among all pairs."""
+        of_word = np.repeat(np.searchsorted(self.words, words), many)
+        return np.searchsorted(self.keys, of_word * len(self.kinds) + np.searchsorted(self.kinds, kind.astype(np.int64)))
 
     def blobs(self) -> tuple[bytes, bytes, bytes, bytes]:
         self.settle()
-        return _squeeze_rising(self.words), _squeeze(np.bincount(self.keys // KINDS, minlength=len(self.words))), _squeeze(self.keys % KINDS), _squeeze(self.count)
+        many = np.bincount(self.keys // max(len(self.kinds), 1), minlength=len(self.words))
+        return _squeeze_rising(self.words), _squeeze(many), _squeeze_names(self.kinds[self.keys % max(len(self.kinds), 1)]), _squeeze(self.count)
 
 
 # -- the job --------------------------------------------------------------------
-_PARTS = ("lens", "held", "ids", "hashes", "leaves")
+_PARTS = ("lens", "held", "ids", "hashes", "classes")
 _MESSAGE = "bucket int, chunk long, words binary, many binary, kinds binary, counts binary"
 _MESSAGE_NAMES = ["bucket", "chunk", "words", "many", "kinds", "counts"]
 _MESSAGE_KINDS = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
@@ -366,7 +405,7 @@ def _rows(batches):
 
 
 def _requests(stored: DataFrame, buckets: int) -> DataFrame:
-    """By bucket: one row (chunk -1) with all its pairs and counts, then what each chunk asks for."""
+    """By bucket: one row (chunk -1) with all its pairs and counts, then for each chunk the places of its pairs, as ``kinds``."""
 
     def send(batches):
         for chunk, *blobs in _rows(batches):
@@ -379,7 +418,7 @@ def _requests(stored: DataFrame, buckets: int) -> DataFrame:
             for b in range(buckets):
                 w1, p1 = int(word_end[b]), int(pair_end[b])
                 if w1 > w0:
-                    yield _message(b, chunk, _squeeze_rising(p.hashes[w0:w1]), _squeeze(many[w0:w1]), _squeeze(p.kind[p0:p1]), _squeeze(counts[p0:p1]))
+                    yield _message(b, chunk, _squeeze_rising(p.hashes[w0:w1]), _squeeze(many[w0:w1]), _squeeze_names(p.kind[p0:p1]), _squeeze(counts[p0:p1]))
                 w0, p0 = w1, p1
 
     def gather(batches):
@@ -388,8 +427,9 @@ def _requests(stored: DataFrame, buckets: int) -> DataFrame:
         def flush():
             if here is not None:
                 yield _message(here, -1, *total.blobs())
-                for row in asked:
-                    yield _message(here, *row, None)
+                for asker, words, many, kinds in asked:
+                    places = total.places(_expand_rising(words), _expand(many), _expand(kinds))
+                    yield _message(here, asker, None, None, _squeeze_rising(places.astype(np.uint64)), None)
 
         for bucket, chunk, words, many, kinds, counts in _rows(batches):
             if bucket != here:
@@ -407,30 +447,96 @@ def _seats(words: bytes, many: bytes, kinds: bytes, counts: bytes) -> Seats:
     return Seats(_expand_rising(words), _expand(many), _expand(kinds), _expand(counts))
 
 
-def _totals(buckets: DataFrame, states: list[np.ndarray]) -> np.ndarray:
-    """Replay the sweeps whose totals are known, make one more, and sum its totals in executors."""
-    sent = buckets.sparkSession.sparkContext.broadcast(states)
-    schema = "slice int, numbers binary"
+def _stored(folder: str, state: int, what: str, key: int) -> list[dict]:
+    """Rows that owners wrote for a bucket or kept for themselves, by the other side's number."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    return pq.read_table(f"{base}/state={state}/what={what}/key={key}", filesystem=store, partitioning=None).sort_by("other").to_pylist()
+
+
+def _known(folder: str, bucket: int, seats: Seats, heads: list[np.ndarray], owners: int) -> list[Totals]:
+    """Totals of the states so far, with the leaves of this bucket."""
+    if not heads:
+        return []
+    order, _ = seats.by_owner(owners)
+
+    def numbers(state: int, column: str) -> np.ndarray:
+        out = np.empty(len(order), np.int64)
+        out[order] = np.concatenate([_expand(r[column]) for r in _stored(folder, state, "bucket", bucket)])
+        return out
+
+    customers, tables = numbers(0, "customers"), numbers(0, "tables")
+    return [Totals(np.concatenate([head, tables + numbers(s, "tables") if s else tables, customers])) for s, head in enumerate(heads)]
+
+
+def _state(own: DataFrame, folder: str, heads: list[np.ndarray], owners: int) -> np.ndarray:
+    """Replay the sweeps whose totals are known and make one more: the sums for all, while those of leaves go to the folder.
+
+    Leaves' tables are those of the first state (one a dish), then what is more than these.
+    """
+    spark, state = own.sparkSession, len(heads)
+    sent = spark.sparkContext.broadcast(heads)
+    names, kinds = ["owner", "bucket", "leaves", "customers", "tables"], [pa.int32(), pa.int32(), *[pa.binary()] * 3]
+    out_names, out_kinds = ["what", "key", "other", "customers", "tables"], [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    out_schema = "what string, key int, other int, customers binary, tables binary"
 
     def work(batches):
-        known = [Totals(s) for s in sent.value]
-        out = np.zeros(Totals.LENGTH, np.int64)
-        for row in _rows(batches):
-            seats = _seats(*row)
-            for s, t in enumerate(known, 1):
+        row = lambda *r: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(r, kinds, strict=True)], names=names)
+        head = np.zeros(Totals.HEAD, np.int64)
+        for bucket, *blobs in _rows(batches):
+            seats = _seats(*blobs)
+            first = np.bincount(seats.place, seats.tables, len(seats.leaves)).astype(np.int64)
+            for s, t in enumerate(_known(folder, bucket, seats, sent.value, owners), 1):
                 seats.sweep(s, t)
-            out += seats.totals()
-        for at in range(0, len(out) if out.any() else 0, _SLICE):
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out[at : at + _SLICE].tobytes()], pa.binary())], names=["slice", "numbers"])
+            numbers = seats.totals()
+            head += numbers[: Totals.HEAD]
+            tables, customers = np.split(numbers[Totals.HEAD :], 2)
+            order, ends = seats.by_owner(owners)
+            for o in range(owners):
+                at = order[ends[o] : ends[o + 1]]
+                if len(at) and state:
+                    yield row(o, bucket, None, None, _squeeze(tables[at] - first[at]))
+                elif len(at):
+                    yield row(o, bucket, _squeeze_rising(seats.leaves[at].astype(np.uint64)), _squeeze(customers[at]), _squeeze(tables[at]))
+        for at in range(0, len(head) if head.any() else 0, _SLICE):
+            yield row(-1 - at // _SLICE, -1, None, None, head[at : at + _SLICE].tobytes())
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(b.as_py(), np.int64) for b in table.column("numbers"))
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "numbers": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(Totals.LENGTH, np.int64)
-    for r in buckets.mapInArrow(work, schema).groupBy("slice").applyInArrow(add, schema).collect():  # about 130,000 numbers
-        found = np.frombuffer(r["numbers"], np.int64)
-        out[r["slice"] : r["slice"] + len(found)] = found
+        owner, buckets = table.column("owner")[0].as_py(), table.column("bucket").to_pylist()
+        blobs = lambda name: [b.as_py() for b in table.column(name)]
+        if owner < 0:
+            total = sum(np.frombuffer(b, np.int64) for b in blobs("tables"))
+            rows = [("head", 0, -1 - owner, None, total.tobytes())]
+        else:
+            if state:
+                places = {r["other"]: _expand_rising(r["tables"]).astype(np.int64) for r in _stored(folder, 0, "owner", owner)}
+                places, customers = [places[b] for b in buckets], None
+            else:
+                leaves = [_expand_rising(b) for b in blobs("leaves")]
+                every = np.unique(np.concatenate(leaves))
+                places, customers = [np.searchsorted(every, x) for x in leaves], [_expand(b) for b in blobs("customers")]
+            size = max(int(p[-1]) for p in places) + 1
+
+            def total(parts: list[np.ndarray]) -> np.ndarray:
+                out = np.zeros(size, np.int64)
+                for p, x in zip(places, parts, strict=True):
+                    out[p] += x.astype(np.int64)  # a bucket has each leaf once
+                return out
+
+            tables, guests = total([_expand(b) for b in blobs("tables")]), total(customers) if customers else None
+            rows = [("bucket", b, owner, None if guests is None else _squeeze(guests[p]), _squeeze(tables[p])) for b, p in zip(buckets, places, strict=True)]
+            if not state:
+                rows += [("owner", owner, b, None, _squeeze_rising(p.astype(np.uint64))) for b, p in zip(buckets, places, strict=True)]
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), out_kinds, strict=True)], names=out_names)
+
+    found = own.mapInArrow(work, "owner int, bucket int, leaves binary, customers binary, tables binary").groupBy("owner").applyInArrow(add, out_schema)
+    found.repartition("what", "key").write.partitionBy("what", "key").parquet(f"{folder}/state={state}")
+    out = np.zeros(Totals.HEAD, np.int64)
+    for r in spark.read.schema(out_schema).parquet(f"{folder}/state={state}").filter("what = 'head'").collect():  # about 132,000 numbers
+        part = np.frombuffer(r["tables"], np.int64)
+        out[r["other"] * _SLICE : r["other"] * _SLICE + len(part)] = part
     return out
 
 
@@ -441,30 +547,30 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, per_bucket: int = BUCK
     stored = cut(chunks(docs, folds, held))
     sums = stored.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_train"))).first()
     n_train = sums["n_train"]
-    asked = cut(_requests(stored, max(16, -(-sums["n_tokens"] // per_bucket))))
-    own = asked.filter(F.col("chunk") < 0).select("words", "many", "kinds", "counts")
-    states: list[np.ndarray] = []
+    buckets = max(16, -(-sums["n_tokens"] // per_bucket))
+    asked, owners, folder = cut(_requests(stored, buckets)), max(16, buckets // OWNED), shared_folder(spark, "lm")
+    own = asked.filter(F.col("chunk") < 0).select("bucket", "words", "many", "kinds", "counts")
+    heads: list[np.ndarray] = []
     for _ in range(1 + BURN + KEEP):
-        states.append(_totals(own, states))
-    sent = spark.sparkContext.broadcast(states)
+        heads.append(_state(own, folder, heads, owners))
+    sent = spark.sparkContext.broadcast(heads)
     answer_names = ["chunk", "bucket", "seen", "chance"]
 
     def answer(batches):
-        known = [Totals(s) for s in sent.value]
         for bucket, chunk, words, many, kinds, counts in _rows(batches):
             if chunk < 0:
                 seats = _seats(words, many, kinds, counts)
-                keys = seats.word * KINDS + seats.kind
-                logs = np.log10(seats.averaged(known)).astype(np.float32)
+                logs = np.log10(seats.averaged(_known(folder, bucket, seats, sent.value, owners))).astype(np.float32)
                 continue
-            at = np.searchsorted(seats.hashes, _expand_rising(words))
-            pair = np.searchsorted(keys, np.repeat(at, _expand(many)) * KINDS + _expand(kinds))
-            row = (chunk, bucket, _squeeze(seats.seen[at]), _squeeze(logs[pair].view(np.uint32)))
+            pair = _expand_rising(kinds)
+            word = seats.word[pair]
+            seen = seats.seen[word[np.diff(word, prepend=-1) != 0]]
+            row = (chunk, bucket, _squeeze(seen), _squeeze(logs[pair].view(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=answer_names)
 
     answers = asked.mapInArrow(answer, "chunk long, bucket int, seen binary, chance binary")
     out_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    words = int(states[-1][0])
+    words = int(heads[-1][0])
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         p = Pairs(*(table.column(c)[0].as_py() for c in _PARTS))

@@ -398,6 +398,27 @@ def test_lm_cases(odd, none):
     assert (alone["train_tokens"], alone["base_score"], alone["score"]) == (0, 0.0, 0.0)
 
 
+def test_lm_keeps_every_context_apart(spark):
+    """Two words with the same ending whose hashes agree modulo 64 (once one leaf) predict each what followed it."""
+    import xxhash
+
+    words, one = [f"w{i}zz" for i in range(200)], "w0zz"
+    h = {w: xxhash.xxh64_intdigest(w.encode()) for w in words}
+    other = next(w for w in words[1:] if h[w] % 64 == h[one] % 64)
+    assert lm.leaf(one.encode(), h[one]) != lm.leaf(other.encode(), h[other])
+    learn, held = ([i for i in range(600) if (fold(i, 7) == 2) == x] for x in (False, True))
+    rows = [(i, f"{one} red" if n % 2 else f"{other} blue") for n, i in enumerate(learn[:400])]
+    rows += list(zip(held, (f"{one} red", f"{one} blue", f"{other} red", f"{other} blue"), strict=False))
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[3]] > got[held[2]] + 1
+
+
+def test_lm_endings_are_classes_of_their_own():
+    words = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    assert len({lm.class_of(w) for w in words}) == len(words) == lm.CLASSES - 1 > max(map(lm.class_of, words))
+    assert lm.KINDS < 1 << 63
+
+
 def test_blobs():
     for a in (np.array([], np.int64), np.array([0, 255]), np.array([256]), np.array([1 << 40]), np.arange(1000)):
         assert lm._expand(lm._squeeze(a)).tolist() == a.tolist()
