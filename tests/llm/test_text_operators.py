@@ -725,6 +725,34 @@ def test_secrets_beyond_the_patterns(spark):
     assert false["hit"] <= 0.05 * false["all"]
 
 
+def test_secrets_learn_from_every_document(spark, monkeypatch):
+    """Every candidate of every document is an example, also beyond 1,500 a half and 20,000 documents; the layout doesn't matter."""
+    rows = [(i, f"see part{i}x{i * 7919 % 10007}.html for more") for i in range(22_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    every = {(r["half"], r["label"], bytes(r["x"])) for r in secrets.examples_of(docs, (1, 1)).collect()}
+    want = {(secrets.half_of(i), 0, secrets.encode(t, a, b).astype(np.uint8).tobytes()) for i, t in rows for a, b in secrets.candidates(t, [])}
+    assert len(want) > 20_000 and want <= every
+    some, seen = docs.limit(3_000).cache(), []
+    monkeypatch.setattr(secrets, "ROUNDS", 2)
+    calibrate = secrets.Network.calibrate
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda self, z, y, **more: (seen.append(int(more["many"].sum())), calibrate(self, z, y, **more)))
+    one, two = secrets.fit(some), secrets.fit(some.repartition(9))
+    assert [n.threshold for n in one] == [n.threshold for n in two] and all((a.p[k] == b.p[k]).all() for a, b in zip(one, two, strict=True) for k in a.p)
+    # thresholds come from a quarter of them all
+    assert sum(seen[:2]) == secrets.examples_of(some, secrets.draws(some)).filter("pmod(h, 4) = 3").count()
+
+
+def test_secrets_calibrate_by_counts():
+    """Counts of equal logits give what the logits one by one give."""
+    r = np.random.default_rng(4)
+    z, y = r.integers(-40, 40, 3000) / 8, r.integers(0, 2, 3000).astype(np.float32)
+    cells, many = np.unique(np.stack([z, y]), axis=1, return_counts=True)
+    one, other = secrets.Network(), secrets.Network()
+    one.calibrate(z, y)
+    other.calibrate(cells[0], cells[1], many=many)
+    assert (one.slope, one.shift, one.threshold) == pytest.approx((other.slope, other.shift, other.threshold), rel=1e-9)
+
+
 def test_secrets_cases(odd, none):
     nets = secrets.fit(odd)
     assert secrets.scan(odd, nets).count() == len(ODD)
