@@ -137,19 +137,38 @@ class Network:
         return x
 
     def _forward(self, x: np.ndarray):
+        """Position and value of each filter's maximum (filters, rows), what passes on, and logits; filters first, so that positions lie together."""
         p, s = self.p, self.size
-        e = p["e"][x]
-        n, length, width = e.shape
-        cols = np.lib.stride_tricks.sliding_window_view(e, s, axis=1).transpose(0, 1, 3, 2).reshape(n, length - s + 1, s * width)
-        z = cols @ p["w"] + p["c"]
+        n, length = x.shape
+        wide, e = length - s + 1, p["e"].T[:, x]  # width, rows, positions
+        cols = np.empty((s, len(e), n, wide), np.float32)
+        for k in range(s):
+            cols[k] = e[:, :, k : k + wide]
+        z = (p["w"].T @ cols.reshape(-1, n * wide)).reshape(-1, wide)
         at = z.argmax(1)
-        top = np.take_along_axis(z, at[:, None], 1)[:, 0]
+        top = z[np.arange(len(z)), at].reshape(-1, n) + p["c"][:, None]
         h = np.maximum(top, 0)
-        return e, cols, at, top, h, h @ p["v"] + p["d"][0]
+        return at.reshape(-1, n), top, h, p["v"] @ h + p["d"][0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([self._forward(self._inside(x[i : i + 256]))[-1] for i in range(0, len(x), 256)]) if len(x) else np.empty(0)
 
+    def gradient(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Of the mean weighed loss of these rows (``_inside`` applied); it goes to the position of the maximum of each filter."""
+        p, s = self.p, self.size
+        at, top, h, z = self._forward(x)
+        filters, n = top.shape
+        dz = ((1 / (1 + np.exp(-z)) - y) * weight / n).astype(np.float32)
+        dh = dz * p["v"][:, None] * (top > 0)
+        g = {"v": h @ dz, "d": dz.sum(keepdims=True), "c": dh.sum(1)}
+        where = x[np.arange(n)[:, None], at[:, :, None] + np.arange(s)]  # filters, rows, size
+        g["w"] = (dh[:, None] @ p["e"][where].reshape(filters, n, -1))[:, 0].T
+        # what each class gets at each place of each filter, summed before it goes through the filter's weights
+        cell = (where * s + np.arange(s)) * filters + np.arange(filters)[:, None, None]
+        got = np.bincount(cell.ravel(), np.repeat(dh.ravel(), s), len(p["e"]) * s * filters).astype(np.float32)
+        g["e"] = got.reshape(-1, s * filters) @ p["w"].reshape(s, -1, filters).transpose(0, 2, 1).reshape(s * filters, -1)
+        return g
+
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 40, rate: float = 5e-3, seed: int = 7) -> None:
         r, moments, step = np.random.default_rng(seed), self.moments(), 0
         for _ in range(epochs):
@@ -160,26 +179,23 @@ class Network:
 
     def epoch(self, x: np.ndarray, y: np.ndarray, order: np.ndarray, moments: tuple[dict, dict], step: int, sizes: tuple[int, int], rate: float = 5e-3) -> int:
         """Every example once, in this order, weighed by the numbers of both labels; Adam goes on from ``moments`` and ``step``."""
-        p, (m, q), x, n = self.p, moments, self._inside(x), sum(sizes)
+        (m, q), x, n = moments, self._inside(x), sum(sizes)
         weight = np.where(y > 0, n / (2 * max(sizes[0], 1)), n / (2 * max(sizes[1], 1))).astype(np.float32)
+        # one vector of all weights, and one of each moment; the weights by name are views of theirs
+        flat, m1, m2 = (np.concatenate([part[k].ravel() for k in self.p]) for part in (self.p, m, q))
+        cuts, shapes = np.cumsum([v.size for v in self.p.values()])[:-1], {k: v.shape for k, v in self.p.items()}
+        named = lambda v: {k: part.reshape(shapes[k]) for k, part in zip(shapes, np.split(v, cuts), strict=True)}
+        self.p = named(flat)
         for i in range(0, len(x), 64):
             b = order[i : i + 64]
-            e, cols, at, top, h, z = self._forward(x[b])
-            dz = ((1 / (1 + np.exp(-z)) - y[b]) * weight[b] / len(b)).astype(np.float32)
-            dh = dz[:, None] * p["v"] * (top > 0)
-            g = {"v": h.T @ dz, "d": dz.sum(keepdims=True), "c": dh.sum(0)}
-            # the gradient goes to the position of the maximum of each filter
-            picked = np.take_along_axis(cols, at[:, :, None], 1)  # rows, filters, size * width
-            g["w"] = np.einsum("nfk,nf->kf", picked, dh)
-            back = (dh[:, :, None] * p["w"].T[None]).reshape(len(b), dh.shape[1], self.size, -1)
-            g["e"] = np.zeros_like(p["e"])
-            where = x[b][np.arange(len(b))[:, None, None], at[:, :, None] + np.arange(self.size)]
-            np.add.at(g["e"], where, back)
+            g = self.gradient(x[b], y[b], weight[b])
+            grad = np.concatenate([g[k].ravel() for k in self.p])
             step += 1
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                q[k] = 0.999 * q[k] + 0.001 * g[k] ** 2
-                p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(q[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            m1 = 0.9 * m1 + 0.1 * grad
+            m2 = 0.999 * m2 + 0.001 * grad**2
+            flat -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        m.update(named(m1))
+        q.update(named(m2))
         return step
 
     def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL, many: np.ndarray | None = None) -> None:
@@ -259,8 +275,10 @@ def _own_examples(doc_id: int | None, text: str) -> list[tuple[int, str, str, st
         left, value = _masked(0 if ASSIGN.search(text[max(0, a - CONTEXT) : e]) else kind, around(a, e)[0], show(a, e), r)
         found.append((1, left, value, around(a, e)[1]))
     found += [(0, around(a, b)[0], show(a, b), around(a, b)[1]) for a, b in candidates(text, base)]
-    gaps = [m.start() for m in re.finditer(" ", text[:20_000])] or [len(text)]
-    at = r.choice(gaps)
+    head = text[:20_000]
+    gaps = head.count(" ")
+    k = r.randrange(gaps or 1)
+    at = len(head) - len(head.split(" ", k + 1)[-1]) - 1 if gaps else len(text)
     return [*found, (2, around(at, at)[0], "", around(at, at)[1])]
 
 

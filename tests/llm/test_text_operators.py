@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -742,6 +743,59 @@ def test_secrets_learn_from_every_document(spark, monkeypatch):
     assert sum(seen[:2]) == secrets.examples_of(some, secrets.draws(some)).filter("pmod(h, 4) = 3").count()
 
 
+def test_secrets_steps_are_exact_and_cheap(spark):
+    """A step's gradient is that of the plain form, and in a worker an epoch takes well under the time of the plain gradients alone."""
+    r = random.Random(5)
+    x, y = [], []
+    for i in range(512):
+        value = r.choice(list((secrets.KEYS if i % 2 else secrets.PLAIN).values()))(r)
+        x.append(secrets.encode(f"see {value} there", 4, 4 + len(value)))
+        y.append(i % 2)
+    x, y, sizes, net = np.array(x), np.array(y, np.float32), (200, 312), secrets.Network()
+    weight = np.where(y > 0, 512 / 400, 512 / 624).astype(np.float32)
+    steps = [slice(i, i + 64) for i in range(0, 512, 64)]
+
+    def plain(b):
+        """Every window written out."""
+        p, size, rows = net.p, net.size, net._inside(x[b])
+        e = p["e"][rows]
+        n, length, width = e.shape
+        cols = np.lib.stride_tricks.sliding_window_view(e, size, axis=1).transpose(0, 1, 3, 2).reshape(n, length - size + 1, size * width)
+        z = cols @ p["w"] + p["c"]
+        at = z.argmax(1)
+        top = np.take_along_axis(z, at[:, None], 1)[:, 0]
+        h = np.maximum(top, 0)
+        dz = ((1 / (1 + np.exp(-(h @ p["v"] + p["d"][0]))) - y[b]) * weight[b] / n).astype(np.float32)
+        dh = dz[:, None] * p["v"] * (top > 0)
+        g = {"v": h.T @ dz, "d": dz.sum(keepdims=True), "c": dh.sum(0), "e": np.zeros_like(p["e"])}
+        g["w"] = np.einsum("nfk,nf->kf", np.take_along_axis(cols, at[:, :, None], 1), dh)
+        back = (dh[:, :, None] * p["w"].T[None]).reshape(n, dh.shape[1], size, -1)
+        np.add.at(g["e"], rows[np.arange(n)[:, None, None], at[:, :, None] + np.arange(size)], back)
+        return g
+
+    def epoch(x, y):
+        moments = net.moments()
+        net.epoch(x, y, np.arange(len(x)), moments, 0, sizes)
+        return moments[0]  # of a single step, a tenth of the gradient
+
+    for b in steps:
+        want = plain(b)
+        got = epoch(x[b], y[b])
+        for k in want:
+            np.testing.assert_allclose(got[k] * 10, want[k], rtol=1e-3, atol=1e-6)
+
+    def took(work):
+        began = time.process_time()
+        work()
+        return time.process_time() - began
+
+    def both(_):
+        return min(took(lambda: epoch(x, y)) for _ in range(7)), min(took(lambda: [plain(b) for b in steps]) for _ in range(7))
+
+    own, other = spark.sparkContext.parallelize([0], 1).map(both).first()
+    assert own < 0.65 * other
+
+
 def test_secrets_calibrate_by_counts():
     """Counts of equal logits give what the logits one by one give."""
     r = np.random.default_rng(4)
