@@ -21,7 +21,7 @@ def resolve(requests: DataFrame, catalog: DataFrame, strict: bool = False) -> Da
     The side to broadcast is left to the planner, which knows sizes. ``strict`` fails
     the call if any target is unknown.
     """
-    if strict and (missing := unknown(requests, catalog).first()):
+    if strict and (missing := unknown(requests.select("video_id", "frame_idx").distinct(), catalog).first()):
         raise UnknownTargets(f"{missing['video_id']} frame {missing['frame_idx']}")
     return requests.join(catalog, ["video_id", "frame_idx"])
 

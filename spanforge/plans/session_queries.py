@@ -14,7 +14,7 @@ _ALL = sql(f"with {_DECODED} select window_id, batch_id, pos, sample_id, record_
 
 
 def _session(t: Relations) -> Session:
-    return Session(t.catalog, t.closure, t.payloads.withColumnRenamed("text", "data"))
+    return Session(t.catalog, t.placed_closure, t.payloads.withColumnRenamed("text", "data"))
 
 
 for _action in ("calibrated_closure", "exact_closure", "fixed_gap_closure", "region_all", "keyframe_prefix"):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .model import DEFAULT, FIXED_GAP, CostModel
@@ -53,9 +54,8 @@ class Session:
         """payloads: record_id, data (binary or string)."""
         self.catalog, self.closure, self.model, self.limits = catalog, closure, model, limits
         self.regions = closures.regions(catalog)
-        place = catalog.select("record_id", F.col("record_offset").alias("offset"), F.col("record_length").alias("length"))
         self.kept: list[DataFrame] = []
-        self.stored = place.join(payloads.select("record_id", F.col("data").cast("binary").alias("data")), "record_id")
+        self.store = execute.groups(catalog, closure, payloads)
 
     def resolve(self, requests: DataFrame) -> DataFrame:
         place = self.catalog.select("video_id", "frame_idx", "record_id", "gop_id", "packet_index")
@@ -78,10 +78,10 @@ class Session:
 
     def needed(self, targets: DataFrame) -> DataFrame:
         """Distinct records of each window's closures, by window, so that planning needs no further exchange."""
-        return self._keep(closures.union(targets, self.closure, self.catalog, KEYS).repartition(*KEYS))
+        return closures.union(targets, self.closure, self.catalog, KEYS)
 
     def candidates(self, requests: DataFrame, resident: DataFrame | None = None) -> DataFrame:
-        needed = self.needed(self.resolve(requests))
+        needed = self._keep(self.needed(self.resolve(requests)))
         fetch = closures.without(needed, resident, KEYS) if resident is not None else needed
         return costing.candidates(needed, fetch, self.regions, KEYS, self.model, self.limits.max_gap)
 
@@ -89,19 +89,24 @@ class Session:
         """The chosen plan of each window."""
         return costing.choose(self.candidates(requests, resident), KEYS, self.model)
 
-    def _numbered(self, needed: DataFrame, action: str) -> DataFrame:
-        """``needed`` with the span each record is fetched in."""
+    def _fetches(self, needed: DataFrame, action: str) -> DataFrame:
+        """``needed`` with the span (span_offset, span_length) each record is fetched in."""
+        group = ["video_id", "gop_id"]
         if action == "exact_closure":
-            return spans.numbered(needed, KEYS, None)
+            return needed.withColumn("span_offset", F.col("offset")).withColumn("span_length", F.col("length"))
+        if action.startswith("region"):
+            return needed.join(self.regions.select(*group, F.col("region_offset").alias("span_offset"), F.col("region_length").alias("span_length")), group)
+        if action == "keyframe_prefix":
+            last = F.max("packet_index").over(W.partitionBy(*KEYS, *group))
+            return needed.withColumn("packet_index", last).join(closures.prefixes(self.catalog).drop("records"), [*group, "packet_index"])
         if action == "fixed_gap_closure":
-            return spans.numbered(needed, KEYS, FIXED_GAP) if self.limits.max_range is None else spans.numbered_capped(needed, KEYS, FIXED_GAP, self.limits.max_range)
-        if action == "calibrated_closure":
+            n = spans.numbered(needed, KEYS, FIXED_GAP) if self.limits.max_range is None else spans.numbered_capped(needed, KEYS, FIXED_GAP, self.limits.max_range).join(needed.select(*KEYS, "record_id", *group), [*KEYS, "record_id"])
+        else:
             plans = costing.candidates(needed, needed, None, KEYS, self.model, self.limits.max_gap)
-            gap = costing.choose(plans, KEYS, self.model).select(*KEYS, F.coalesce("threshold", F.lit(-1).cast("long")).alias("_gap"))
+            gap = costing.choose(plans, KEYS, self.model).select(*KEYS, F.coalesce("threshold", F.lit(-(1 << 62))).alias("_gap"))  # a null threshold never merges
             n = spans.numbered(needed.join(gap, KEYS), KEYS, F.col("_gap"))
-            return n.drop("_gap")
-        region = F.dense_rank().over(spans._by(KEYS, "video_id", "gop_id")) - 1
-        return needed.withColumn("span", region)
+        w = W.partitionBy(*KEYS, "span")
+        return n.withColumn("span_offset", F.min("offset").over(w)).withColumn("span_length", F.max(spans.end()).over(w) - F.col("span_offset"))
 
     def execute(self, requests: DataFrame, action: str = "calibrated_closure") -> DataFrame:
         """Results of every request in order: window_id, batch_id, pos, sample_id, record_id, digest, width.
@@ -111,28 +116,19 @@ class Session:
         """
         if action not in ACTIONS:
             raise ValueError(f"unknown action {action}")
-        targets = self._keep(self.resolve(requests))
+        return self._results(self.resolve(requests), action).orderBy(*KEYS, "batch_id", "pos")
+
+    def _results(self, targets: DataFrame, action: str = "calibrated_closure") -> DataFrame:
+        targets = self._keep(targets)
         needed = self.needed(targets)
-        numbered = self._keep(self._numbered(needed, action))
-        if action in ("region_selective", "region_all", "keyframe_prefix"):
-            groups = numbered.select(*KEYS, "span", "video_id", "gop_id").distinct()
-            if action == "keyframe_prefix":
-                cover = closures.keyframe_prefix(needed, self.catalog, KEYS)
-            else:
-                cover = groups.join(self.regions, ["video_id", "gop_id"]).select(*KEYS, "video_id", "gop_id", F.col("region_offset").alias("span_offset"), F.col("region_length").alias("span_length"))
-            plan = groups.join(cover, [*KEYS, "video_id", "gop_id"])
-        else:
-            plan = spans._spans(numbered, KEYS)
-        fetched = execute.fetch(plan, self.stored, KEYS)
-        records = execute.cut_records(numbered, fetched, KEYS)
-        return execute.restore(targets, execute.decode(targets, self.closure, records, KEYS), KEYS)
+        return execute.serve(targets, self._fetches(self._keep(needed) if action == "calibrated_closure" else needed, action), self.store, KEYS)
 
     def execute_portfolio(self, requests: DataFrame, materialized: DataFrame) -> DataFrame:
         """Requests whose record is materialized are served from there, the others by ``execute``; one ordered result.
 
         materialized: record_id, digest, width.
         """
-        targets = resolve.route_pairs(self.resolve(requests), materialized)
+        targets = self._keep(resolve.route_pairs(self.resolve(requests), materialized))
         have = targets.filter("branch = 'pair'").join(materialized, "record_id").select(*KEYS, "batch_id", "pos", "sample_id", "record_id", "digest", "width")
-        rest = targets.filter("branch = 'fallback'").select(*requests.columns)
-        return have.unionByName(self.execute(rest)).orderBy(*KEYS, "batch_id", "pos")
+        rest = targets.filter("branch = 'fallback'").drop("branch")
+        return have.unionByName(self._results(rest)).orderBy(*KEYS, "batch_id", "pos")

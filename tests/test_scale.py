@@ -16,3 +16,45 @@ def test_catalogs_are_derived_without_texts(spark, monkeypatch):
     assert t.catalog.count() == t.catalog_text.count() == 200
     assert len(seen) == 3 and not {"payload", "text"} & {c for cols in seen for c in cols}
     assert t.catalog_text.filter(F.octet_length("payload") != F.col("record_length")).count() == 0
+
+
+def shuffled(spark) -> int:
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    gateway = sc._gateway
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def small_session(spark, size, strange=False):
+    from spanforge.operators import closures
+    from spanforge.session import Session
+
+    rows = [(i, "v", 0, i, p, t, r) for i, (t, p, r) in enumerate(zip("IBBBP", [0, 3, 2, 4, 1], [0, 4, 4, 4, 4], strict=True))]
+    cat = spark.createDataFrame(rows, "record_id long, video_id string, gop_id long, k int, packet_index int, frame_type string, right_ref long").withColumn("frame_idx", F.col("k"))
+    cat = cat.withColumn("record_offset", F.col("packet_index").cast("long") * size).withColumn("record_length", F.lit(size).cast("long"))
+    import random
+
+    r = random.Random(0)
+    data = spark.createDataFrame([(i, bytearray(r.randbytes(size))) for i in range(5)], "record_id long, data binary")
+    closure = closures.hierarchical(cat)
+    if strange:
+        closure = closure.unionByName(spark.createDataFrame([(1, 77, 9)], "target_id long, dep_id long, packet_index int"))
+    return Session(cat, closure, data)
+
+
+@pytest.mark.parametrize("action", ["exact_closure", "fixed_gap_closure", "calibrated_closure", "region_all", "keyframe_prefix"])
+def test_bytes_move_once_however_many_windows(spark, action):
+    windows, size = 40, 20_000
+    req = spark.createDataFrame([(w, 0, 0, w, "v", 1) for w in range(windows)], "window_id long, batch_id long, pos long, sample_id long, video_id string, frame_idx int")
+    with small_session(spark, size) as s:
+        before = shuffled(spark)
+        got = s.execute(req, action).collect()
+        assert [r["sample_id"] for r in got] == list(range(windows)) and len({r["digest"] for r in got}) == 1 and got[0]["width"] == 4 * size
+        assert shuffled(spark) - before < 10 * size * 5  # each window takes 4 or 5 records
+
+
+def test_a_closure_that_leaves_its_group_is_an_error(spark):
+    req = spark.createDataFrame([(0, 0, 0, 0, "v", 0)], "window_id long, batch_id long, pos long, sample_id long, video_id string, frame_idx int")
+    with small_session(spark, 10, strange=True) as s, pytest.raises(Exception, match="leaves its group"):
+        s.execute(req).collect()
