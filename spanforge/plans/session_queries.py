@@ -29,7 +29,7 @@ def execute_portfolio(t):
 
 @query("plan_byte_ranges", sql(f'with {_islands(512)} select window_id, span, record_id, "offset", length, "offset" - min("offset") over (partition by window_id, span) as relative_offset from i_512', "needed"))
 def byte_ranges(t):
-    return plan_byte_ranges(t.needed.select("window_id", "record_id", "offset", "length"), 512, keys=["window_id"])
+    return plan_byte_ranges(t.needed.select("window_id", "record_id", "offset", "length"), 512, keys=["window_id"], empty=True)
 
 
 @query("session_plan", sql("select window_id, count(*) as targets, count(distinct record_id) as unique_targets from targets group by 1", "targets"))

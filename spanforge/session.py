@@ -37,12 +37,15 @@ class Limits:
         return max(1, min(self.windows, self.callers, self.threads // self.decoder_threads))
 
 
-def plan_byte_ranges(records: DataFrame, gap: int | None, cap: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Spans over records (keys, record_id, offset, length) with each record's place in its span; bad records are an error."""
+def plan_byte_ranges(records: DataFrame, gap: int | None, cap: int | None = None, keys: list[str] | None = None, empty: bool = False) -> DataFrame:
+    """Spans over records (keys, record_id, offset, length) with each record's place in its span; bad records are an error.
+
+    ``empty``: records without bytes are good, as in catalogs of texts.
+    """
     keys = keys or []
     own = records if keys else records.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    if bad := spans.violations(own, by).first():
+    if bad := spans.violations(own, by, empty).first():
         raise ValueError(f"record {bad['record_id']}: {bad['reason']}")
     own = own.dropDuplicates([*by, "record_id"])
     n = spans.numbered(own, by, gap) if cap is None or gap is None else spans.numbered_capped(own, by, gap, cap)
