@@ -161,11 +161,12 @@ def select_pairs(profile: DataFrame, budget: int, keys: list[str]) -> DataFrame:
     """Pairs to store within ``budget`` bytes: densest first (requests per byte), what doesn't fit is skipped.
 
     profile: keys, sample_id, requests, bytes. The order is exact: densities are
-    compared as decimals of 38 digits, then requests, bytes and id decide. Skipping makes
+    compared as decimals of 38 digits, then requests, bytes and id decide; pairs without bytes,
+    which always fit, come last. Skipping makes
     each choice depend on those before it: a fold over each key's ordered rows.
     """
-    density = F.col("requests").cast("decimal(18,0)") / F.col("bytes").cast("decimal(18,0)")
-    item = F.struct((-density).alias("d"), (-F.col("requests")).alias("r"), F.col("bytes").alias("b"), F.col("sample_id").alias("s"))
+    density = F.col("requests").cast("decimal(18,0)") / F.when(F.col("bytes") != 0, F.col("bytes")).cast("decimal(18,0)")
+    item = F.struct(density.isNull().alias("n"), (-density).alias("d"), (-F.col("requests")).alias("r"), F.col("bytes").alias("b"), F.col("sample_id").alias("s"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<s: bigint, taken: boolean>>").alias("out"))
 
     def step(x: Column, e: Column) -> Column:
