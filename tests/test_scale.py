@@ -58,3 +58,37 @@ def test_a_closure_that_leaves_its_group_is_an_error(spark):
     req = spark.createDataFrame([(0, 0, 0, 0, "v", 0)], "window_id long, batch_id long, pos long, sample_id long, video_id string, frame_idx int")
     with small_session(spark, 10, strange=True) as s, pytest.raises(Exception, match="leaves its group"):
         s.execute(req).collect()
+
+
+def test_empty_records_have_a_place(spark):
+    from spanforge.session import plan_byte_ranges
+
+    rows = spark.createDataFrame([(0, 1, 0, 5), (0, 2, 5, 0), (0, 3, 5, 7)], "w int, record_id long, offset long, length long")
+    got = plan_byte_ranges(rows, 0, keys=["w"], empty=True).orderBy("record_id").collect()
+    assert [(r["span"], r["relative_offset"]) for r in got] == [(0, 0), (0, 5), (0, 5)]
+    with pytest.raises(ValueError):
+        plan_byte_ranges(rows.withColumn("length", F.col("length") - 1), 0, keys=["w"], empty=True)
+
+
+def test_pairs_without_bytes_come_last_and_fit(spark):
+    from spanforge.operators import costing
+
+    p = spark.createDataFrame([(0, 1, 9, 0), (0, 2, 1, 10), (0, 3, 2, 10)], "w int, sample_id long, requests long, bytes long")
+    got = [(r["sample_id"], r["selected"]) for r in costing.select_pairs(p, 10, ["w"]).collect()]
+    assert got == [(3, True), (2, False), (1, True)]
+
+
+def test_density_of_no_bytes_is_above_all(spark):
+    from spanforge.operators import spans
+
+    df = spark.createDataFrame([(1, 0), (10**9, 1), (5, 3)], "a long, b long").withColumn("d", spans.density(F.col("a"), F.col("b")))
+    assert [r["b"] for r in df.orderBy(F.desc("d")).collect()] == [0, 1, 3]
+
+
+def test_records_are_bound_at_borders(spark):
+    from spanforge.operators import spans
+
+    given = spark.createDataFrame([(0, 10, 10), (0, 30, 0)], "w int, span_offset long, span_length long")
+    rows = [(0, i, o, n) for i, (o, n) in enumerate([(10, 0), (20, 0), (10, 10), (15, 6), (9, 2), (30, 0), (31, 0)])]
+    got = spans.bound(spark.createDataFrame(rows, "w int, record_id long, offset long, length long"), given, ["w"]).orderBy("record_id").collect()
+    assert [r["span_offset"] for r in got] == [10, 10, 10, None, None, 30, None]
