@@ -92,3 +92,22 @@ def test_records_are_bound_at_borders(spark):
     rows = [(0, i, o, n) for i, (o, n) in enumerate([(10, 0), (20, 0), (10, 10), (15, 6), (9, 2), (30, 0), (31, 0)])]
     got = spans.bound(spark.createDataFrame(rows, "w int, record_id long, offset long, length long"), given, ["w"]).orderBy("record_id").collect()
     assert [r["span_offset"] for r in got] == [10, 10, 10, None, None, 30, None]
+
+
+def test_sampler_prices_what_a_closure_adds():
+    import random
+
+    from spanforge.model import DEFAULT
+    from spanforge.operators import sampling
+
+    r, looks = random.Random(1), []
+    recs = {i: (r.randrange(200_000), r.choice([0, 1, 100, 3000])) for i in range(200)}
+    closure = {t: {d: recs[d] for d in r.sample(range(200), 5)} for t in range(60)}
+    order = [r.randrange(60) for _ in range(120)]
+    labels = [r.randint(-1, 1) for _ in order]
+    for gap in (0, 100, 16384):
+        whole = lambda e, gap=gap: looks.append(len(e)) or sampling.closure_cost(e, DEFAULT, gap)
+        adds = sampling.Sparse(closure, DEFAULT, gap)
+        assert sampling.bounded(order, closure, 32, 16, adds) == sampling.bounded(order, closure, 32, 16, whole)
+        assert sampling.label_preserving(order, labels, closure, 32, 2, adds) == sampling.label_preserving(order, labels, closure, 32, 2, whole)
+    assert looks
