@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+from array import array
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,9 +54,14 @@ def decode_closure(data: Column) -> Column:
 
 def annex_b(sample: bytes, length_size: int) -> bytes:
     """Length-prefixed units as a start-code stream; empty or cut units are errors."""
+    return bytes(_annex_b(sample, length_size, bytearray()))
+
+
+def _annex_b(sample, length_size: int, out: bytearray) -> bytearray:
+    """``out`` with the sample's units behind it."""
     if not 1 <= length_size <= 4:
         raise ValueError("length size must be 1 to 4")
-    out, at = bytearray(), 0
+    at = 0
     while at < len(sample):
         if at + length_size > len(sample):
             raise ValueError("length prefix is cut")
@@ -62,19 +69,32 @@ def annex_b(sample: bytes, length_size: int) -> bytes:
         at += length_size
         if not n or at + n > len(sample):
             raise ValueError("unit is empty or cut")
-        out += b"\0\0\0\1" + sample[at : at + n]
+        out += b"\0\0\0\1"
+        out += sample[at : at + n]
         at += n
-    return bytes(out)
+    return out
 
 
 def to_annex_b(sample: Column, length_size: int) -> Column:
-    @F.pandas_udf("binary")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else annex_b(bytes(b), length_size))
+    """Of a batch Python holds what came in and what goes out, once each, and no object a row."""
+
+    @F.arrow_udf("binary")
+    def run(values: pa.Array) -> pa.Array:
+        return annex_b_array(values, length_size)
 
     return run(sample)
 
 
+def annex_b_array(values: pa.Array, length_size: int) -> pa.Array:
+    out, ends = bytearray(), array("i", [0])
+    for i in range(len(values)):
+        if values[i].is_valid:
+            _annex_b(memoryview(values[i].as_buffer()), length_size, out)
+        ends.append(len(out))
+    valid = values.is_valid().buffers()[1] if values.null_count else None  # a boolean array's values are its bits
+    return pa.BinaryArray.from_buffers(pa.binary(), len(values), [valid, pa.py_buffer(ends), pa.py_buffer(out)])
+
+
 def units(stream: bytes) -> list[tuple[int, bytes]]:
     """(type, unit) of a start-code stream; start codes have three or four bytes."""
     out, at = [], stream.find(b"\0\0\1")

@@ -111,3 +111,24 @@ def test_sampler_prices_what_a_closure_adds():
         assert sampling.bounded(order, closure, 32, 16, adds) == sampling.bounded(order, closure, 32, 16, whole)
         assert sampling.label_preserving(order, labels, closure, 32, 2, adds) == sampling.label_preserving(order, labels, closure, 32, 2, whole)
     assert looks
+
+
+def test_start_codes_need_no_object_a_row():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from spanforge.functions import scalars
+
+    unit = lambda n: n.to_bytes(4, "big") + bytes(range(256)) * (n // 256)
+    rows = [unit(256) * 40, None, b"", unit(512)] * 250
+    batch = pa.array(rows, pa.binary())
+    tracemalloc.start()
+    got = scalars.annex_b_array(batch, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == [None if b is None else scalars.annex_b(b, 4) for b in rows]
+    assert scalars.annex_b_array(batch.slice(3, 6), 4).to_pylist() == got.to_pylist()[3:9]
+    assert peak < 1.5 * batch.nbytes
+    with pytest.raises(ValueError):
+        scalars.annex_b_array(pa.array([b"\0\0\0\0"]), 4)
