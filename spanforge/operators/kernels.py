@@ -13,12 +13,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+GROUP = ["video_id", "gop_id"]
+
+
 def jobs(closure: DataFrame, payloads: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row a target: its closure's (packet_index, text) in decode order, and its own place among them."""
-    rows = closure.join(payloads.withColumnRenamed("record_id", "dep_id"), "dep_id")
-    parts = rows.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("packet_index", "dep_id", "text"))).alias("parts"))
-    own = F.array_position(F.transform("parts", lambda x: x["dep_id"]), F.col("target_id")) - 1
-    return parts.withColumn("ordinal", own.cast("int")).join(catalog.select(F.col("record_id").alias("target_id"), "video_id", "gop_id"), "target_id")
+    """One row a target: its closure's (packet_index, text) in decode order, and its own place among them.
+
+    Closures are sent to their group's texts (they don't leave it), so a text is moved once and not once a closure.
+    """
+    of = catalog.select("record_id", *GROUP)
+    texts = of.join(payloads, "record_id").groupBy(*GROUP).agg(F.collect_list(F.struct("record_id", "text")).alias("_texts"), F.collect_set("record_id").alias("_ids"))
+    edges = closure.select("target_id", "dep_id", "packet_index").join(of.withColumnRenamed("record_id", "target_id"), "target_id")
+    deps = edges.groupBy("target_id", *GROUP).agg(F.array_sort(F.collect_list(F.struct("packet_index", "dep_id"))).alias("_deps"))
+    text = lambda d: F.get(F.filter("_texts", lambda x: x["record_id"] == d["dep_id"]), F.lit(0))["text"]
+    astray = F.exists("_deps", lambda d: ~F.array_contains("_ids", d["dep_id"]))
+    parts = F.transform("_deps", lambda d: F.struct(d["packet_index"].alias("packet_index"), d["dep_id"].alias("dep_id"), text(d).alias("text")))
+    own = F.array_position(F.transform("_deps", lambda x: x["dep_id"]), F.col("target_id")) - 1
+    whole = F.when(astray, F.raise_error(F.lit("a closure's text isn't in its group"))).otherwise(parts)
+    return deps.join(texts, GROUP).select("target_id", whole.alias("parts"), own.cast("int").alias("ordinal"), *GROUP)
 
 
 def digest(job_rows: DataFrame) -> DataFrame:

@@ -132,3 +132,18 @@ def test_start_codes_need_no_object_a_row():
     assert peak < 1.5 * batch.nbytes
     with pytest.raises(ValueError):
         scalars.annex_b_array(pa.array([b"\0\0\0\0"]), 4)
+
+
+def test_texts_move_once_however_many_closures(spark):
+    import random
+
+    from spanforge.operators import kernels
+
+    n, size, r = 60, 10_000, random.Random(0)
+    cat = spark.createDataFrame([(i, "v", 0, i) for i in range(n)], "record_id long, video_id string, gop_id long, packet_index int")
+    texts = spark.createDataFrame([(i, r.randbytes(size // 2).hex()) for i in range(n)], "record_id long, text string")
+    closure = cat.select(F.col("record_id").alias("target_id")).join(cat.select(F.col("record_id").alias("dep_id"), "packet_index"), F.col("dep_id") <= F.col("target_id"))
+    before = shuffled(spark)
+    got = kernels.digest(kernels.jobs(closure, texts, cat)).orderBy("target_id").collect()
+    assert [r["width"] for r in got] == [size * (i + 1) for i in range(n)] and [r["units"] for r in got] == list(range(1, n + 1))
+    assert shuffled(spark) - before < 5 * n * size  # closures have 1,830 texts in all
